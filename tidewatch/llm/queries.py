@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, mixing, quality, toxicity
+from tidewatch.llm import bpe, chat, mixing, neardup, quality, tokenfile, toxicity
 from tidewatch.llm.storage import written
 
 
@@ -13,6 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.read_files(*tokenfile.write_files(table(spark, sf_dir, "documents")))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"))
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.grouped(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,5 +60,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op5_chat, op8_quality_rules, op9_quality_classifier, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_tokens, op2_bpe, op3_near_duplicates, op4_toxicity, op5_chat, op8_quality_rules, op9_quality_classifier, op10_mixing)}
 ORACLES: dict[str, str] = {}
