@@ -47,11 +47,10 @@ def branches(messages: DataFrame, best: int | None = 1) -> DataFrame:
     open_ = now.where("up is not null").count()
     while open_:
         links.append(now)
-        step = now.alias("a").join(now.alias("b"), same("a", "b", "up", "id"), "left")
-        now = written(
-            step.select("a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"), (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"), F.coalesce("a.root", "b.root").alias("root")),
-            "chat-up",
-        )
+        # Only messages that have not reached their root jump on.
+        step = now.where("up is not null").alias("a").join(now.alias("b"), same("a", "b", "up", "id"))
+        step = step.select("a.tree", "a.id", "b.up", (F.col("a.steps") + F.col("b.steps")).alias("steps"), (F.col("a.score") + F.col("b.score")).alias("score"), "b.root")
+        now = written(step.unionByName(now.where("up is null")), "chat-up")
         left = now.where("up is not null").count()
         if left == open_:
             break  # only cycles, and what hangs from them, are left: any other thread has a message that reached its root just now

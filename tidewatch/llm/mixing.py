@@ -80,6 +80,15 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, epo
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def taken(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` with all its columns, as often as it is taken. Rows that are equal in doc_id, source and size
+    are taken equally often: as the one of them that is taken most."""
+    copies = mixed(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("n")).where("n > 0")
+    rows = docs.withColumn("__size", n_words(F.col("text"))).alias("d")
+    rows = rows.join(copies.alias("c"), F.expr("d.doc_id <=> c.doc_id and d.source <=> c.source and d.__size = c.size"))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c.n")))).select("d.*").drop("__size")
+
+
 def _same(a: str, b: str, *names: str) -> Column:
     return F.expr(" and ".join(f"{a}.{n} <=> {b}.{n}" for n in names))
 

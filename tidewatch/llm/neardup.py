@@ -164,6 +164,11 @@ def grouped(docs: DataFrame) -> DataFrame:
     nothing and stays: component_id is its own doc_id. A null doc_id never is a component_id, unless all of a component are null; ``kept``
     is false for it unless its component has no doc_id. If several rows share the kept doc_id, all of them are kept.
     """
+    return _grouped(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """What :func:`grouped` gives, and ``key``, the hash of each row's text."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     signed = written(keyed.mapInArrow(_signed, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, n_shingles long, print binary, bands array<long>"), "neardup-signed")
     # Classes of equal sets. Their bands are equal, so any copy's will do.
@@ -177,14 +182,14 @@ def grouped(docs: DataFrame) -> DataFrame:
     links = _verified_links(sets, large, buckets)
     labels = components(links)
     # Smallest doc_id of a component over all copies of all its classes.
-    of = signed.select("doc_id", "n_shingles", "print")
+    of = signed.select("doc_id", "key", "n_shingles", "print")
     least = of.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("least"))
     least = least.join(labels.select(F.col("node").alias("print"), "label"), "print", "left").select("print", "least", F.coalesce("label", "print").alias("label"))
     whole = least.groupBy("label").agg(F.min("least").alias("component_id"))
     found = written(least.join(whole, "label").select(F.col("print").alias("p"), "component_id"), "neardup-found")
     out = of.join(found, F.col("print") == F.col("p"), "left")
     component = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _with_sets(docs: DataFrame, signed: DataFrame, loose: DataFrame) -> DataFrame:
@@ -235,7 +240,7 @@ def _verified_links(sets: DataFrame, large: DataFrame, buckets: DataFrame) -> Da
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates stays, with all its columns: the one with the smallest doc_id."""
-    found = grouped(docs)
-    kept = found.where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One document of each group of near-duplicates stays, with all its columns: the one with the smallest doc_id. Rows that repeat it
+    in doc_id and text stay with it; rows of a group without any doc_id all stay."""
+    kept = _grouped(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_semi")

@@ -260,6 +260,12 @@ def fitted(featured: DataFrame, labels: DataFrame) -> Discriminant:
     return model
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that score at least 1/2, with all their columns (none of which may be called x or score)."""
+    featured = written(with_features(docs, tuple(docs.columns)), "quality-features")
+    return scored(featured, fitted(featured, labels)).where("score >= 0.5").select(docs.columns)
+
+
 def scored(featured: DataFrame, model: Discriminant) -> DataFrame:
     """featured(..., x) -> the other columns and score."""
     rest = [f for f in featured.schema if f.name != "x"]

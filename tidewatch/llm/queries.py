@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chat, mixing, neardup, quality, tokenfile, toxicity
+from tidewatch.llm import ann, bpe, chat, html, mixing, neardup, quality, tokenfile, toxicity
 from tidewatch.llm.storage import written
 
 
@@ -47,6 +47,14 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.searched(table(spark, sf_dir, "embeddings"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"))
 
@@ -60,5 +68,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_tokens, op2_bpe, op3_near_duplicates, op4_toxicity, op5_chat, op8_quality_rules, op9_quality_classifier, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_tokens, op2_bpe, op3_near_duplicates, op4_toxicity, op5_chat, op6_nearest, op7_html, op8_quality_rules, op9_quality_classifier, op10_mixing)}
 ORACLES: dict[str, str] = {}
