@@ -138,10 +138,10 @@ def confusion(rows: DataFrame, *by: str) -> DataFrame:
     tp, fp, fn, tn = (F.col(x).cast("double") for x in ("tp", "fp", "fn", "tn"))
     n = tp + fp + fn + tn
     c = c.withColumn("accuracy", ratio(tp + tn, n)).withColumn("precision", ratio(tp, tp + fp)).withColumn("recall", ratio(tp, tp + fn)).withColumn("f1", F.when(tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0))
-    # Covariance form: no product of more than two counts before the root.
+    # Covariance form, in doubles, as the product of four counts passes 64 bits.
     cov = n * tp - (tp + fp) * (tp + fn)
     flagged, labelled = (tp + fp) * (fn + tn), (tp + fn) * (fp + tn)
-    return c.withColumn("mcc", F.when((flagged > 0) & (labelled > 0), cov / (F.sqrt(flagged) * F.sqrt(labelled))).otherwise(0.0))
+    return c.withColumn("mcc", F.when((flagged > 0) & (labelled > 0), cov / F.sqrt(flagged * labelled)).otherwise(0.0))
 
 
 def curve(rows: DataFrame) -> DataFrame:

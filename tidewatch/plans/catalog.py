@@ -492,7 +492,7 @@ def judged_docs(spark, d) -> DataFrame:
     return rows.select((F.col("toxic") == 1).alias("label"), (F.col("n_chars") > 2000).alias("flagged"), F.col("n_chars").cast("double").alias("score"))
 
 
-@registered(q.query(f"select tp, fp, fn, tn, {q.R6('(a + d) / (a + b + c + d)')} as accuracy, {q.R6('case when a + b > 0 then a / (a + b) else 0 end')} as precision, {q.R6('case when a + c > 0 then a / (a + c) else 0 end')} as recall, {q.R6('case when a + b + c > 0 then 2 * a / (2 * a + b + c) else 0 end')} as f1, {q.R6('case when (a + b) * (c + d) > 0 and (a + c) * (b + d) > 0 then ((a + b + c + d) * a - (a + b) * (a + c)) / (sqrt((a + b) * (c + d)) * sqrt((a + c) * (b + d))) else 0 end')} as mcc from k1", JUDGE, CONFUSION))
+@registered(q.query(f"select tp, fp, fn, tn, {q.R6('(a + d) / (a + b + c + d)')} as accuracy, {q.R6('case when a + b > 0 then a / (a + b) else 0 end')} as precision, {q.R6('case when a + c > 0 then a / (a + c) else 0 end')} as recall, {q.R6('case when a + b + c > 0 then 2 * a / (2 * a + b + c) else 0 end')} as f1, {q.R6('case when (a + b) * (c + d) > 0 and (a + c) * (b + d) > 0 then ((a + b + c + d) * a - (a + b) * (a + c)) / sqrt((a + b) * (c + d) * (a + c) * (b + d)) else 0 end')} as mcc from k1", JUDGE, CONFUSION))
 def confusion_metrics(spark, d):
     return rounded(metrics.confusion(judged_docs(spark, d)), "accuracy", "precision", "recall", "f1", "mcc")
 
