@@ -161,8 +161,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c for _, c in rest] + [pa.array(x, pa.list_(pa.float64()))], names=[n for n, _ in rest] + ["x"])
 
 
-def with_features(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    picked = docs.select(*carry, F.col("text").alias("__text"))
+def with_features(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), keep_text: bool = False) -> DataFrame:
+    picked = docs.select(*carry, *["text"] * keep_text, F.col("text").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "__text"] + ["x array<double>"])
     return picked.mapInArrow(_features, schema)
 
@@ -261,9 +261,11 @@ def fitted(featured: DataFrame, labels: DataFrame) -> Discriminant:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs(doc_id, text, ...) that score at least 1/2, with all their columns (none of which may be called x or score)."""
-    featured = written(with_features(docs, tuple(docs.columns)), "quality-features")
-    return scored(featured, fitted(featured, labels)).where("score >= 0.5").select(docs.columns)
+    """The rows of docs(doc_id, text, ...) that score at least 1/2, with all their columns, whatever these are called."""
+    own = {c: f"c{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    featured = written(with_features(docs.withColumnsRenamed(own), ("doc_id", *own.values()), keep_text=True), "quality-features")
+    kept = scored(featured, fitted(featured, labels)).where("score >= 0.5")
+    return kept.drop("score").withColumnsRenamed({v: k for k, v in own.items()}).select(docs.columns)
 
 
 def scored(featured: DataFrame, model: Discriminant) -> DataFrame:
