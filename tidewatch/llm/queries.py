@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import ann, bpe, chat, html, mixing, neardup, quality, tokenfile, toxicity
+from tidewatch.llm import ann, bpe, chat, html, mixing, neardup, oracles, quality, tokenfile, toxicity
 from tidewatch.llm.storage import written
 
 
@@ -69,4 +69,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_tokens, op2_bpe, op3_near_duplicates, op4_toxicity, op5_chat, op6_nearest, op7_html, op8_quality_rules, op9_quality_classifier, op10_mixing)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_near_duplicates": oracles.NEAR_DUPLICATES, "op5_chat": oracles.CHAT, "op10_mixing": oracles.MIXING}
