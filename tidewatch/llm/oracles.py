@@ -6,7 +6,7 @@ WORDS = r"'[^\x20\x09-\x0D]+'"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 NEAR_DUPLICATES = rf"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {WORDS}) as w from documents),
-n as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+n as (select doc_id, case when len(w) >= 5 then list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
 x as (select doc_id, len(s) as n, unnest(s) as shingle from n),
 p as (select a.doc_id as a, b.doc_id as b, count(*) as common, any_value(a.n) as na, any_value(b.n) as nb from x a join x b on a.shingle = b.shingle and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
 l as (select a, b from p where 100 * common >= 75 * (na + nb - common)),
