@@ -162,7 +162,10 @@ def test_open_at_the_end(spark):
     assert sorted(kinds) == ["finish", "open"]
     last = arbiter.final(arbiter.records(s, 0.1, 0.5), F.coalesce("at_us", F.lit(2**62))).first()
     assert last.kind == "finish" and last.peak == pytest.approx(0.2)
-    assert arbiter.as_events(arbiter.alarms(s, 0.1, 0.5)).first().channels[0].weight == 1.0
+    events = arbiter.as_events(arbiter.alarms(s, 0.1, 0.5))
+    assert events.first().channels[0].weight == 1.0
+    e = arbiter.fired_by(arbiter.first_detection(events), "r0_limits").first()
+    assert e.first_detection == e.fired_at == e.detections[0].fired_at and arbiter.fired_by(events, "other").first().fired_at is None
 
 
 def test_repeats_and_coverage(spark):

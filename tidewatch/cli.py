@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import platform
+import subprocess
 import sys
 from pathlib import Path
 
@@ -57,6 +59,12 @@ def run_detect(spark: SparkSession, config: dict) -> int:
     return 0
 
 
+def run_header() -> dict:
+    """What a report was made with: commit (and whether the tree differs from it), Python, machine."""
+    git = lambda *a: subprocess.run(["git", *a], capture_output=True, text=True, check=False).stdout.strip()
+    return {"commit": git("rev-parse", "HEAD") or None, "dirty": bool(git("status", "--porcelain")), "python": platform.python_version(), "machine": platform.processor() or platform.machine()}
+
+
 def run_evaluate(spark: SparkSession, config: dict) -> int:
     c = files.closed(config, ("source", "evaluation", "lock", "out"), "evaluate")
     source = archive_of(c["source"])
@@ -69,7 +77,7 @@ def run_evaluate(spark: SparkSession, config: dict) -> int:
     channels = spark.createDataFrame([(n, x.kind) for n, x in source.channels.items()], "channel string, kind string")
     source.readings(spark)  # refuses an archive that isn't as declared
     result = evaluate(spark, source.labelled(spark), channels, EvalConfig(mission=source.mission, **e), md5)
-    write(result, c["out"], {"config_sha256": files.config_hash(config), "data_md5": md5})
+    write(result, c["out"], run_header() | {"config_sha256": files.config_hash(config), "data_md5": md5})
     return 0
 
 

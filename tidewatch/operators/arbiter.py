@@ -90,3 +90,14 @@ def as_events(found: DataFrame, detector: str = DETECTOR, created_at_us: Column
         F.lit(None).cast("string").alias("verdict"),
         ts(created_at_us if created_at_us is not None else F.col("fired_at_us")).alias("created_at"),
     )
+
+
+def first_detection(events: DataFrame) -> DataFrame:
+    """Adds ``first_detection``, when the earliest of an event's detections fired."""
+    return events.withColumn("first_detection", F.array_min(F.transform("detections", lambda x: x["fired_at"])))
+
+
+def fired_by(events: DataFrame, detector: str) -> DataFrame:
+    """Adds ``fired_at``, when the given detector fired for the event; null if it did not."""
+    own = F.filter("detections", lambda x: x["detector"] == detector)
+    return events.withColumn("fired_at", F.try_element_at(F.transform(own, lambda x: x["fired_at"]), F.lit(1)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import intervals
 from tidewatch.functions.instants import SECOND, nanos
-from tidewatch.operators import arbiter, detect, limits, metrics, replay, truth
+from tidewatch.operators import arbiter, baseline, detect, limits, metrics, replay, truth
 from tidewatch.plans import sql as q
 from tidewatch.plans import tables as t
 
@@ -266,6 +266,27 @@ def coverage_by_channel(spark, d):
     return detect.coverage(samples, main_scores(spark, d), "channel").select("channel", "samples", "scored", "firing", r6("ratio").alias("ratio"))
 
 
+@registered(
+    q.query(
+        "select channel, ts_us, round(mean, 4) as mean, round(case when sd > 0 then abs(value - mean) / sd end, 4) as z from (select channel, ts_us, value, avg(value) over w as mean, stddev_samp(value) over w as sd from t where isfinite(value) window w as (partition by channel order by ts_us rows between 20 preceding and 1 preceding))",
+        q.READINGS,
+    )
+)
+def rolling_baseline(spark, d):
+    rows = baseline.rolling(t.readings(spark, d), 20, "mission", "channel")
+    return rows.select("channel", "ts_us", F.round("mean", 4).alias("mean"), F.round("z", 4).alias("z"))
+
+
+DAY_US = 86400 * SECOND
+
+
+@registered(q.query(f"select channel, (ts_us // {DAY_US}) * {DAY_US} as start_us, count(*) as n, min(value) as low, max(value) as high, round(sum(value) * 100)::bigint as hundredths from t where isfinite(value) group by channel, ts_us // {DAY_US}", q.READINGS))
+def rollup_daily(spark, d):
+    hours = baseline.rollup(t.readings(spark, d), 3600 * SECOND, "channel")
+    days = baseline.coarser(hours, DAY_US, "channel")
+    return days.withColumn("hundredths", F.round(F.col("mean") * F.col("n") * 100).cast("long")).drop("mean")
+
+
 # --- truth --------------------------------------------------------------------------------------------------------------------------------
 
 
