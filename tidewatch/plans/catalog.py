@@ -268,13 +268,13 @@ def coverage_by_channel(spark, d):
 
 @registered(
     q.query(
-        "select channel, ts_us, round(mean, 4) as mean, round(case when sd > 0 then abs(value - mean) / sd end, 4) as z from (select channel, ts_us, value, avg(value) over w as mean, stddev_samp(value) over w as sd from t where isfinite(value) window w as (partition by channel order by ts_us rows between 20 preceding and 1 preceding))",
+        "select channel, ts_us, round(case when sd > 0 then abs(value - mean) / sd end, 4) as z from (select channel, ts_us, value, avg(value) over w as mean, stddev_samp(value) over w as sd from t where isfinite(value) window w as (partition by channel order by ts_us rows between 20 preceding and 1 preceding))",
         q.READINGS,
     )
 )
 def rolling_baseline(spark, d):
     rows = baseline.rolling(t.readings(spark, d), 20, "mission", "channel")
-    return rows.select("channel", "ts_us", F.round("mean", 4).alias("mean"), F.round("z", 4).alias("z"))
+    return rows.select("channel", "ts_us", F.round("z", 4).alias("z"))
 
 
 DAY_US = 86400 * SECOND
