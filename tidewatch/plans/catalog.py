@@ -41,7 +41,8 @@ def main_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def main_alarms(spark: SparkSession, d: str) -> DataFrame:
-    return arbiter.alarms(main_scores(spark, d), t.MEDIUM, t.HIGH)
+    """A row an alarm, kept, as the metrics read it on several branches of one plan."""
+    return arbiter.alarms(main_scores(spark, d), t.MEDIUM, t.HIGH).persist()
 
 
 def with_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +50,8 @@ def with_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def all_events(spark: SparkSession, d: str) -> DataFrame:
-    return truth.labelled_events(with_runs(spark, d))
+    """A row a labelled event, kept for the same reason."""
+    return truth.labelled_events(with_runs(spark, d)).persist()
 
 
 def judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
