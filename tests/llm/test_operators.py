@@ -154,7 +154,8 @@ def test_near_duplicates(docs, texts):
         assert (r.component_id, r.n_shingles, r.kept) == (expected[r.doc_id], len(sets[r.doc_id]), expected[r.doc_id] == r.doc_id)
 
 
-def test_large_group_goes_by_blocks(spark):
+def test_large_group_goes_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 32)
     df = varied(spark)
     expected, _ = brute_components({r.doc_id: r.text for r in df.collect()})
     assert {r.doc_id: r.component_id for r in neardup.grouped(df).collect()} == expected

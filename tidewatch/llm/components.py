@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.storage import released, written
+from tidewatch.llm.storage import released, sized, written
 
 
 def components(links: DataFrame) -> DataFrame:
     """links(a, b), any comparable type -> (node, label): each node of a link with the smallest node of its component.
 
     Direction, loops and repeats of links don't matter; links with a null end are left out. A round takes, for each node, the smallest
-    label among its neighbours, then that label's own label, so rounds follow the logarithm of a component's width. Joins on a node with
-    very many links are split by Spark where they are skewed: the sums above them are partial first.
+    label among its neighbours and its own, then that label's own label, so rounds follow the logarithm of a component's width. Joins on
+    a node with very many links are split by Spark where they are skewed: the sums above them are partial first. Tasks follow the
+    number of links, so that many small rounds don't each pay for many empty tasks.
     """
     links = links.where("a is not null and b is not null")
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    rows = both.count()
+    fit = lambda df: sized(df, rows)
+    first = fit(both.groupBy("a").agg(F.min("b").alias("m"))).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
+    labels = written(first, "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))
-        spread = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        near = fit(both.join(labels, both.b == labels.node).select("a", "label", F.lit(None).cast(dict(labels.dtypes)["label"]).alias("old")))
+        own = labels.select(F.col("node").alias("a"), "label", F.col("label").alias("old"))
+        spread = fit(near.unionByName(own).groupBy("a").agg(F.min("label").alias("label"), F.max("old").alias("old")))
         of = labels.select(F.col("node").alias("via"), F.col("label").alias("next"))
-        jumped = spread.join(of, spread.label == of.via, "left").select("node", "old", F.least("label", "next").alias("label"))
+        jumped = fit(spread.join(of, spread.label == of.via, "left").select(F.col("a").alias("node"), "old", F.least("label", "next").alias("label")))
         now = written(jumped, "labels")
         changed = now.where("label != old").limit(1).count()
         released(labels)

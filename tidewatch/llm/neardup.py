@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.components import components
-from tidewatch.llm.storage import released, slots, written
+from tidewatch.llm.storage import sized, slots, written
 from tidewatch.llm.textcore import STEP, U, WordHashes, as_bytes, chunks, mixed, shingle_sets
 
 WORDS, PERCENT = 5, 75
 #: Coordinates of a sketch and coordinates in a band: two sets of similarity 0.75 miss all 32 bands with probability 5e-6.
 T, ROWS = 128, 4
 #: Classes of a large loose group in a block.
-BLOCK = 64
+BLOCK = 256
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -172,21 +172,22 @@ def _grouped(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     signed = written(keyed.mapInArrow(_signed, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, n_shingles long, print binary, bands array<long>"), "neardup-signed")
     # Classes of equal sets. Their bands are equal, so any copy's will do.
-    classes = signed.where("print is not null").groupBy("print").agg(F.any_value("bands").alias("bands"))
-    buckets = written(classes.select("print", F.explode("bands").alias("bucket")), "neardup-buckets")
-    leads = buckets.groupBy("bucket").agg(F.min("print").alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", "lead")
-    stars = buckets.join(leads, "bucket").where("print != lead").select(F.col("lead").alias("a"), F.col("print").alias("b")).distinct()
+    classes = written(signed.where("print is not null").groupBy("print").agg(F.any_value("bands").alias("bands")), "neardup-classes")
+    buckets = classes.select("print", F.explode("bands").alias("bucket"))
+    rows = classes.count() * T // ROWS
+    leads = sized(buckets.groupBy("bucket").agg(F.min("print").alias("lead"), F.count("*").alias("n")), rows).where("n > 1").select("bucket", "lead")
+    stars = sized(buckets.join(leads, "bucket"), rows).where("print != lead").select(F.col("lead").alias("a"), F.col("print").alias("b")).distinct()
     loose = written(components(stars).select(F.col("node").alias("print"), F.col("label").alias("grp")), "neardup-loose")
     sets = _with_sets(docs, signed, loose)
-    large = written(loose.groupBy("grp").agg(F.count("*").alias("n")).where(f"n > {BLOCK}").select("grp", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "neardup-large")
-    links = _verified_links(sets, large, buckets)
+    large = written(sized(loose.groupBy("grp").agg(F.count("*").alias("n")), rows).where(f"n > {BLOCK}").select("grp", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "neardup-large")
+    links = _verified_links(sets, large, classes, loose.count())
     labels = components(links)
     # Smallest doc_id of a component over all copies of all its classes.
     of = signed.select("doc_id", "key", "n_shingles", "print")
     least = of.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("least"))
-    least = least.join(labels.select(F.col("node").alias("print"), "label"), "print", "left").select("print", "least", F.coalesce("label", "print").alias("label"))
-    whole = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = written(least.join(whole, "label").select(F.col("print").alias("p"), "component_id"), "neardup-found")
+    least = sized(least.join(labels.select(F.col("node").alias("print"), "label"), "print", "left"), rows // 8).select("print", "least", F.coalesce("label", "print").alias("label"))
+    whole = sized(least.groupBy("label").agg(F.min("least").alias("component_id")), rows // 8)
+    found = written(sized(least.join(whole, "label"), rows // 8).select(F.col("print").alias("p"), "component_id"), "neardup-found")
     out = of.join(found, F.col("print") == F.col("p"), "left")
     component = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -204,7 +205,9 @@ def _with_sets(docs: DataFrame, signed: DataFrame, loose: DataFrame) -> DataFram
     return written(texts.mapInArrow(_sets, "print binary, grp binary, shingles binary"), "neardup-sets")
 
 
-def _verified_links(sets: DataFrame, large: DataFrame, buckets: DataFrame) -> DataFrame:
+def _verified_links(sets: DataFrame, large: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """``n``: classes in loose groups."""
+    fit = lambda df: sized(df, 8 * n)
     marked = sets.join(large, "grp", "left")
     small = marked.where("blocks is null").select(F.col("grp").alias("task"), "print", F.lit(True).alias("asks"), "shingles")
     placed = marked.where("blocks is not null").withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")))
@@ -217,20 +220,20 @@ def _verified_links(sets: DataFrame, large: DataFrame, buckets: DataFrame) -> Da
     first = written(_compared(small.unionByName(chain)), "neardup-links")
     labels = components(first)
     # Who is outside the largest verified component of its large group?
-    member = placed.select("print", "grp", "block", "blocks").join(labels.select(F.col("node").alias("print"), "label"), "print", "left")
+    member = fit(placed.select("print", "grp", "block", "blocks").join(labels.select(F.col("node").alias("print"), "label"), "print", "left"))
     member = written(member.withColumn("label", F.coalesce("label", "print")), "neardup-members")
-    counts = member.groupBy("grp", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    asking = member.join(main, "grp").where("label != main").select("print", "grp", "block", "blocks")
+    counts = fit(member.groupBy("grp", "label").agg(F.count("*").alias("n")))
+    main = fit(counts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main")))
     # Blocks where such a class has a candidate: those of the classes in its buckets, beyond the blocks already compared with.
-    spread = buckets.join(member.select("print", "grp", "block", "blocks"), "print")
-    seats = spread.select("bucket", F.col("block").alias("at")).distinct()
-    wanted = asking.join(buckets, "print").join(seats, "bucket").where("pmod(block - at + 1, blocks) > 2")
-    wanted = written(wanted.select("print", "grp", "at").distinct(), "neardup-wanted")
+    member = fit(member.join(main, "grp")).select("print", "grp", "block", "blocks", (F.col("label") != F.col("main")).alias("asks"))
+    seen = fit(member.join(classes, "print")).select("print", "grp", "block", "blocks", "asks", F.explode("bands").alias("bucket"))
+    seats = fit(seen.select("bucket", F.col("block").alias("at")).distinct())
+    wanted = fit(seen.where("asks").join(seats, "bucket")).where("pmod(block - at + 1, blocks) > 2")
+    wanted = written(fit(wanted.select("print", "grp", "at").distinct()), "neardup-wanted")
     if wanted.limit(1).count() == 0:
         return first
     # Those who ask come to the block in lots of BLOCK at most on average; the block goes to each lot.
-    lots = wanted.groupBy("grp", "at").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("lots"))
+    lots = fit(wanted.groupBy("grp", "at").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("lots")))
     wanted = wanted.join(lots, ["grp", "at"]).withColumn("lot", F.pmod(F.xxhash64("print"), F.col("lots")))
     task = lambda: F.concat(F.col("grp"), F.lit("/"), F.col("at").cast("string"), F.lit("/"), F.col("lot").cast("string")).cast("binary").alias("task")
     ask = wanted.select("print", task()).join(placed.select("print", "shingles"), "print").select("task", "print", F.lit(True).alias("asks"), "shingles")

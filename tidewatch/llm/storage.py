@@ -45,3 +45,8 @@ def released(*tables: DataFrame) -> None:
 def slots(spark: SparkSession) -> int:
     """Partitions for an explicit exchange: the session's own shuffle setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sized(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``df`` in tasks of about ``each`` of ``rows`` short rows: neighbouring partitions are read by one task, nothing is moved."""
+    return df.coalesce(max(8, rows // each))
