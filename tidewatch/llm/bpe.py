@@ -172,28 +172,31 @@ class Bpe:
         return b" ".join(map(self.token.__getitem__, ids.tolist()))
 
 
+class Known(dict):
+    """Remembered words; a word that isn't there is one of ``made``, those of the chunk at hand."""
+
+    made: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.made[word]
+
+
 class WordCache:
     """word -> its ids, by ``encode(list of words)`` for words not met before. Holds REMEMBERED words and those of one chunk."""
 
     def __init__(self, encode):
-        self.encode, self.known = encode, {}
+        self.encode, self.known = encode, Known()
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
+        """Ids of each text, as the encoder's integers one after another."""
         for a, b in chunks(texts):
             docs = [self.cased(t).split() for t in texts[a:b]]
             new = list(set().union(*docs) - self.known.keys())
-            made = dict(zip(new, self.encode(new), strict=True)) if new else {}
-            room = REMEMBERED - len(self.known)
-            if room >= len(made):
-                self.known |= made
-                find = self.known.__getitem__
-            else:
-                self.known |= {w: made[w] for w in new[: max(0, room)]}
-                known = self.known
-                find = lambda w: made[w] if w in made else known[w]
+            self.known.made = dict(zip(new, self.encode(new), strict=True)) if new else {}
             for words in docs:
-                yield b"".join(map(find, words))
+                yield b"".join(map(self.known.__getitem__, words))
+            room = max(0, REMEMBERED - len(self.known))
+            self.known |= {w: self.known.made[w] for w in new[:room]}
 
     @staticmethod
     def cased(text: bytes) -> bytes:

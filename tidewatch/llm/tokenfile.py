@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,12 +68,13 @@ def library_words(path: str, kind: str):
     tool.no_truncation()
     tool.no_padding()
     mark, mark_text = min((i, t.content) for i, t in tool.get_added_tokens_decoder().items())
+    code = "H" if kind == "<u2" else "I"
     letters, width, model = dict(enumerate(byte_letters())), np.dtype(kind).itemsize, tool.model
 
     class Pieces(dict):
         def __missing__(self, piece: bytes) -> bytes:
             ids = [t.id for t in model.tokenize(piece.decode("latin-1").translate(letters))] if piece else []
-            value = self[piece] = np.array(ids, kind).tobytes()
+            value = self[piece] = array(code, ids).tobytes()
             return value
 
     def encode(words: list[bytes]) -> list[bytes]:
