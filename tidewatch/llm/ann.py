@@ -22,7 +22,7 @@ from tidewatch.llm.storage import slots, written
 #: Projections, and the share of windows that a vector must lie in.
 M, THRESHOLD = 64, 0.58
 #: First half-width of a window on unit vectors (in standard deviations of a projection of a difference), its growth, and rounds at most.
-FIRST, WIDEN, ROUNDS = 0.35, 1.22, 14
+FIRST, WIDEN, ROUNDS = 0.35, 1.5, 7
 #: A query stops at a radius beyond SAFE times its k-th best distance.
 SAFE = 1.0
 #: Vectors in a data block and queries in a query block.
