@@ -1,4 +1,4 @@
-"""Connected components of a table of links, without gathering links anywhere: smallest labels spread over links and jump along labels."""
+"""Connected components of a table of links by contraction, without gathering links anywhere."""
 
 from __future__ import annotations
 
@@ -11,27 +11,40 @@ from tidewatch.llm.storage import released, sized, written
 def components(links: DataFrame) -> DataFrame:
     """links(a, b), any comparable type -> (node, label): each node of a link with the smallest node of its component.
 
-    Direction, loops and repeats of links don't matter; links with a null end are left out. A round takes, for each node, the smallest
-    label among its neighbours and its own, then that label's own label, so rounds follow the logarithm of a component's width. Joins on
-    a node with very many links are split by Spark where they are skewed: the sums above them are partial first. Tasks follow the
-    number of links, so that many small rounds don't each pay for many empty tasks.
+    Direction and repeats of links don't matter; links with a null end, and from a node to itself, say nothing and are left out. In a
+    round every node moves to the node of least hash among itself and its neighbours; links then join what their ends moved to, loops
+    and repeats vanish, and the next round goes on with the few links left. The hash is another one each round, so about half of the
+    nodes go, whatever their names and however long a chain; a dense group is a single node after a round or two. Where a node ended is
+    read off by following the moves back, smallest table first.
     """
-    links = links.where("a is not null and b is not null")
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    rows = both.count()
-    fit = lambda df: sized(df, rows)
-    first = fit(both.groupBy("a").agg(F.min("b").alias("m"))).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
-    labels = written(first, "labels")
-    while True:
-        near = fit(both.join(labels, both.b == labels.node).select("a", "label", F.lit(None).cast(dict(labels.dtypes)["label"]).alias("old")))
-        own = labels.select(F.col("node").alias("a"), "label", F.col("label").alias("old"))
-        spread = fit(near.unionByName(own).groupBy("a").agg(F.min("label").alias("label"), F.max("old").alias("old")))
-        of = labels.select(F.col("node").alias("via"), F.col("label").alias("next"))
-        jumped = fit(spread.join(of, spread.label == of.via, "left").select(F.col("a").alias("node"), "old", F.least("label", "next").alias("label")))
-        now = written(jumped, "labels")
-        changed = now.where("label != old").limit(1).count()
-        released(labels)
-        labels = now.select("node", "label")
-        if not changed:
-            released(both)
-            return labels
+    now = written(_tidy(links.where("a is not null and b is not null")), "links")
+    moves = []
+    while rows := now.count():
+        near = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        at = lambda c: F.struct(F.xxhash64(F.lit(len(moves)), c).alias("h"), F.col(c).alias("n"))
+        best = sized(near.groupBy("a").agg(F.min(at("b")).alias("best")), rows)
+        move = written(best.select(F.col("a").alias("node"), F.least("best", at("a"))["n"].alias("goal")), "moves")
+        ends = sized(now.join(move, now.a == move.node).select(F.col("goal").alias("a"), "b"), rows)
+        ends = sized(ends.join(move, ends.b == move.node).select("a", F.col("goal").alias("b")), rows)
+        after = written(sized(_tidy(ends), rows), "links")
+        released(now)
+        moves.append(move)
+        now = after
+    if not moves:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    released(now)
+    last = moves[-1]
+    for move in moves[-2::-1]:
+        onward = last.select(F.col("node").alias("via"), F.col("goal").alias("end"))
+        last = move.join(onward, move.goal == onward.via, "left").select("node", F.coalesce("end", "goal").alias("goal"))
+    ends = written(last, "ends")
+    released(*moves)
+    least = ends.groupBy("goal").agg(F.min("node").alias("label"))
+    out = written(ends.join(least, "goal").select("node", "label"), "labels")
+    released(ends)
+    return out
+
+
+def _tidy(links: DataFrame) -> DataFrame:
+    """Each link once, smaller end first, without loops."""
+    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

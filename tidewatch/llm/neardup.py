@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.components import components
-from tidewatch.llm.storage import sized, slots, written
+from tidewatch.llm.storage import released, sized, slots, written
 from tidewatch.llm.textcore import STEP, U, WordHashes, as_bytes, chunks, mixed, shingle_sets
 
 WORDS, PERCENT = 5, 75
@@ -33,6 +33,8 @@ WORDS, PERCENT = 5, 75
 T, ROWS = 128, 4
 #: Classes of a large loose group in a block.
 BLOCK = 256
+#: A class with more than one in so many of all rows is hot.
+HOT = 1000
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -171,35 +173,51 @@ def _grouped(docs: DataFrame) -> DataFrame:
     """What :func:`grouped` gives, and ``key``, the hash of each row's text."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     signed = written(keyed.mapInArrow(_signed, f"doc_id {dict(docs.dtypes)['doc_id']}, key long, n_shingles long, print binary, bands array<long>"), "neardup-signed")
-    # Classes of equal sets. Their bands are equal, so any copy's will do.
-    classes = written(signed.where("print is not null").groupBy("print").agg(F.any_value("bands").alias("bands")), "neardup-classes")
+    # Classes of equal sets, from sums that are partial first. Their bands are equal, so any copy's will do; ``one`` is a copy to read the
+    # set from, ``least`` the smallest doc_id of all copies.
+    of = signed.where("print is not null").groupBy("print")
+    classes = written(of.agg(F.any_value("bands").alias("bands"), F.min(F.struct("doc_id", "key")).alias("one"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "neardup-classes")
     buckets = classes.select("print", F.explode("bands").alias("bucket"))
-    rows = classes.count() * T // ROWS
+    total = classes.count()
+    rows = total * T // ROWS
     leads = sized(buckets.groupBy("bucket").agg(F.min("print").alias("lead"), F.count("*").alias("n")), rows).where("n > 1").select("bucket", "lead")
-    stars = sized(buckets.join(leads, "bucket"), rows).where("print != lead").select(F.col("lead").alias("a"), F.col("print").alias("b")).distinct()
-    loose = written(components(stars).select(F.col("node").alias("print"), F.col("label").alias("grp")), "neardup-loose")
-    sets = _with_sets(docs, signed, loose)
+    # A class and its buckets' leads are all linked to the least of them. Classes of a dense group share these few leads, so links between
+    # leads repeat and vanish, and about one link a class is left.
+    held = sized(buckets.join(leads, "bucket"), rows).groupBy("print").agg(F.collect_set("lead").alias("leads"))
+    ends = F.array_union("leads", F.array("print"))
+    loose = components(held.select(F.array_min(ends).alias("a"), F.explode(ends).alias("b"))).withColumnsRenamed({"node": "print", "label": "grp"})
+    sets = _with_sets(docs, classes, loose)
     large = written(sized(loose.groupBy("grp").agg(F.count("*").alias("n")), rows).where(f"n > {BLOCK}").select("grp", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks")), "neardup-large")
     links = _verified_links(sets, large, classes, loose.count())
     labels = components(links)
     # Smallest doc_id of a component over all copies of all its classes.
-    of = signed.select("doc_id", "key", "n_shingles", "print")
-    least = of.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("least"))
-    least = sized(least.join(labels.select(F.col("node").alias("print"), "label"), "print", "left"), rows // 8).select("print", "least", F.coalesce("label", "print").alias("label"))
-    whole = sized(least.groupBy("label").agg(F.min("least").alias("component_id")), rows // 8)
-    found = written(sized(least.join(whole, "label"), rows // 8).select(F.col("print").alias("p"), "component_id"), "neardup-found")
-    out = of.join(found, F.col("print") == F.col("p"), "left")
-    component = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def _with_sets(docs: DataFrame, signed: DataFrame, loose: DataFrame) -> DataFrame:
+    least = sized(classes.join(labels.select(F.col("node").alias("print"), "label"), "print", "left"), total).select("print", "copies", "least", F.coalesce("label", "print").alias("label"))
+    whole = sized(least.groupBy("label").agg(F.min("least").alias("component_id")), total)
+    found = written(sized(least.join(whole, "label"), total).select(F.col("print").alias("p"), "copies", "component_id"), "neardup-found")
+    released(classes, loose, sets, large, links, labels)
+    return _back(signed, found)
+
+
+def _back(signed: DataFrame, found: DataFrame) -> DataFrame:
+    """Each row of ``signed`` with its class's component: rows without a set need no join; classes that hold over a thousandth of all rows
+    are fewer than a thousand, so they are broadcast, and no key with many rows is left for the exchange."""
+    rows = signed.select("doc_id", "key", "n_shingles", "print")
+    many = signed.count() // HOT
+    hot = found.where(F.col("copies") > many).select("p", F.col("component_id").alias("hot_id"))
+    marked = rows.where("print is not null").join(F.broadcast(hot), F.col("print") == F.col("p"), "left")
+    usual = marked.where("p is null").drop("p", "hot_id").join(found.where(F.col("copies") <= many), F.col("print") == F.col("p"))
+    names = ("doc_id", "key", "n_shingles")
+    out = rows.where("print is null").select(*names, F.col("doc_id").alias("component_id"))
+    out = out.unionByName(marked.where("p is not null").select(*names, F.col("hot_id").alias("component_id"))).unionByName(usual.select(*names, "component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _with_sets(docs: DataFrame, classes: DataFrame, loose: DataFrame) -> DataFrame:
     """(print, grp, shingles) for each class in a loose group, from the text of its document with the smallest doc_id.
 
     The text's hash goes with the doc_id, so that rows without a doc_id, or with one doc_id and several texts, meet their own text only.
     """
-    one = signed.join(loose, "print").groupBy("print").agg(F.min(F.struct("doc_id", "key")).alias("one"), F.any_value("grp").alias("grp"))
-    one = one.select("print", "grp", F.col("one.doc_id").alias("id"), F.col("one.key").alias("key"))
+    one = classes.join(loose, "print").select("print", "grp", F.col("one.doc_id").alias("id"), F.col("one.key").alias("key"))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("key"))
     texts = docs.select("doc_id", "text").join(one, same).select("print", "grp", "text")
     return written(texts.mapInArrow(_sets, "print binary, grp binary, shingles binary"), "neardup-sets")
@@ -212,7 +230,7 @@ def _verified_links(sets: DataFrame, large: DataFrame, classes: DataFrame, n: in
     small = marked.where("blocks is null").select(F.col("grp").alias("task"), "print", F.lit(True).alias("asks"), "shingles")
     placed = marked.where("blocks is not null").withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")))
     if large.limit(1).count() == 0:
-        return _compared(small)
+        return written(_compared(small), "neardup-links")
     # A task for each block and its successor.
     name = lambda block: F.concat(F.col("grp"), F.lit("/"), block.cast("string")).cast("binary")
     chain = placed.withColumn("at", F.explode(F.array_distinct(F.array("block", F.pmod(F.col("block") - 1, F.col("blocks"))))))
@@ -221,7 +239,8 @@ def _verified_links(sets: DataFrame, large: DataFrame, classes: DataFrame, n: in
     labels = components(first)
     # Who is outside the largest verified component of its large group?
     member = fit(placed.select("print", "grp", "block", "blocks").join(labels.select(F.col("node").alias("print"), "label"), "print", "left"))
-    member = written(member.withColumn("label", F.coalesce("label", "print")), "neardup-members")
+    kept = member = written(member.withColumn("label", F.coalesce("label", "print")), "neardup-members")
+    released(labels)
     counts = fit(member.groupBy("grp", "label").agg(F.count("*").alias("n")))
     main = fit(counts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main")))
     # Blocks where such a class has a candidate: those of the classes in its buckets, beyond the blocks already compared with.
@@ -230,16 +249,21 @@ def _verified_links(sets: DataFrame, large: DataFrame, classes: DataFrame, n: in
     seats = fit(seen.select("bucket", F.col("block").alias("at")).distinct())
     wanted = fit(seen.where("asks").join(seats, "bucket")).where("pmod(block - at + 1, blocks) > 2")
     wanted = written(fit(wanted.select("print", "grp", "at").distinct()), "neardup-wanted")
+    released(kept)
     if wanted.limit(1).count() == 0:
+        released(wanted)
         return first
     # Those who ask come to the block in lots of BLOCK at most on average; the block goes to each lot.
+    asked = wanted
     lots = fit(wanted.groupBy("grp", "at").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("lots")))
     wanted = wanted.join(lots, ["grp", "at"]).withColumn("lot", F.pmod(F.xxhash64("print"), F.col("lots")))
     task = lambda: F.concat(F.col("grp"), F.lit("/"), F.col("at").cast("string"), F.lit("/"), F.col("lot").cast("string")).cast("binary").alias("task")
     ask = wanted.select("print", task()).join(placed.select("print", "shingles"), "print").select("task", "print", F.lit(True).alias("asks"), "shingles")
     seat = placed.withColumn("at", F.col("block")).join(lots, ["grp", "at"]).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)))
     seat = seat.select(task(), "print", F.lit(False).alias("asks"), "shingles")
-    return first.unionByName(_compared(ask.unionByName(seat)))
+    out = written(first.unionByName(_compared(ask.unionByName(seat))), "neardup-links")
+    released(first, asked)
+    return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
