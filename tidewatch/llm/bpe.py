@@ -20,10 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidewatch.llm.textcore import as_bytes, chunks
+from tidewatch.llm.textcore import WordTable, as_bytes
 
-#: Words whose ids a worker remembers; beyond it, words are remembered for the batch at hand only.
-REMEMBERED = 250_000
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -172,36 +170,9 @@ class Bpe:
         return b" ".join(map(self.token.__getitem__, ids.tolist()))
 
 
-class Known(dict):
-    """Remembered words; a word that isn't there is one of ``made``, those of the chunk at hand."""
-
-    made: dict[bytes, bytes] = {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.made[word]
-
-
-class WordCache:
-    """word -> its ids, by ``encode(list of words)`` for words not met before. Holds REMEMBERED words and those of one chunk."""
-
-    def __init__(self, encode):
-        self.encode, self.known = encode, Known()
-
-    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Ids of each text, as the encoder's integers one after another."""
-        for a, b in chunks(texts):
-            docs = [self.cased(t).split() for t in texts[a:b]]
-            new = list(set().union(*docs) - self.known.keys())
-            self.known.made = dict(zip(new, self.encode(new), strict=True)) if new else {}
-            for words in docs:
-                yield b"".join(map(self.known.__getitem__, words))
-            room = max(0, REMEMBERED - len(self.known))
-            self.known |= {w: self.known.made[w] for w in new[:room]}
-
-    @staticmethod
-    def cased(text: bytes) -> bytes:
-        """A-Z to lower case before words are told apart, as the normaliser does it anyway; but special tokens are matched before it."""
-        return text if b"<|" in text else text.lower()
+def cased(text: bytes) -> bytes:
+    """A-Z to lower case before words are told apart, as the normaliser does it anyway; but special tokens are matched before it."""
+    return text if b"<|" in text else text.lower()
 
 
 @functools.cache
@@ -209,6 +180,12 @@ def loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
+@functools.cache
+def remembered(path: str) -> WordTable:
+    """Kept as long as the worker lives, so that its tasks don't each learn the same words."""
+    return WordTable(loaded(path).words, "<u4")
+
+
 def encoded(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = ("doc_id",), keep_ids: bool = False) -> DataFrame:
     """docs(text, ...) -> the ``carry`` columns, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded.
 
@@ -221,15 +198,13 @@ def encoded(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = (
     schema += ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>", "decoded string"] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        cache = WordCache(bpe.words)
+        bpe, cache = loaded(path), remembered(path)
         for batch in batches:
             n, first, second, ids, texts = [], [], [], [], []
-            for raw in cache.ids(as_bytes(batch.column("__text"))):
-                own = np.frombuffer(raw, "<u4")
+            for own in cache.ids([cased(t) for t in as_bytes(batch.column("__text"))]):
                 text = bpe.decoded(own)
                 n.append(len(own))
-                first.append(hashlib.sha256(raw).hexdigest())
+                first.append(hashlib.sha256(own.tobytes()).hexdigest())
                 second.append(hashlib.sha256(text).hexdigest())
                 if keep_ids:
                     ids.append(own.astype(np.int32))

@@ -6,6 +6,7 @@ no other byte of a character is one of them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -63,6 +64,113 @@ def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield start, len(texts)
 
 
+#: A random odd multiplier, its inverse modulo 2^64, and a random number for each byte.
+BASE = 0x9FB21C651E98DF25
+INVERSE = pow(BASE, -1, 1 << 64)
+BYTE = mixed(np.arange(1, 257, dtype=U) * STEP)
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+GAP = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of text whose words are found at once, so that the arrays stay in the processor's caches.
+BLOCK_BYTES = 1 << 20
+
+
+class Powers:
+    """Powers of BASE and INVERSE modulo 2^64, as many as were asked for so far."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.empty(0, U)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up, self.down = (np.multiply.accumulate(np.r_[U(1), np.full(n - 1, x, U)]) for x in (U(BASE), U(INVERSE)))
+        return self.up[:n], self.down[:n]
+
+
+powers = Powers()
+
+
+def located(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one, each word's start, end and hash in it, and each text's bounds in the words.
+
+    A word's hash is its part of a running sum of (a number for the byte) * BASE ** place, moved back to place 0.
+    """
+    raw = b" ".join(texts) + b" "
+    data = np.frombuffer(raw, np.uint8)
+    gap = SPACE[data]
+    edges = np.flatnonzero(np.concatenate([~gap[:1], gap[1:] != gap[:-1]]))
+    start, end = edges[0::2], edges[1::2]
+    up, down = powers(len(data))
+    total = np.zeros(len(data) + 1, U)
+    np.cumsum(BYTE[data] * up, out=total[1:])
+    value = mixed((total[end] - total[start]) * down[start] + (end - start).astype(U) * STEP)
+    begin = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) + 1 for t in texts], out=begin[1:])
+    return raw, start, end, value, np.searchsorted(start, begin)
+
+
+class WordTable:
+    """word -> its ids, by ``encode(list of words)`` (ids as the bytes of integers of ``kind``) for words that it doesn't hold.
+
+    A table of SLOTS places by hash, where a later word takes an earlier one's place; ids stand in one array that starts afresh when it
+    holds MOST_IDS. Two words that a worker meets share a 63-bit hash with a probability below 1e-6 for millions of words.
+    """
+
+    SLOTS, MOST_IDS = 1 << 21, 1 << 23
+
+    def __init__(self, encode, kind: str):
+        self.encode, self.kind = encode, np.dtype(kind)
+        self.key, self.begin, self.size = (np.zeros(self.SLOTS, t) for t in (U, np.int32, np.int32))
+        self.store, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        for a, b in chunks(texts, BLOCK_BYTES):
+            if b - a == 1 and len(texts[a]) > 2 * BLOCK_BYTES:
+                yield np.concatenate([x for part in cut(texts[a]) for x in self._block([part])])
+            else:
+                yield from self._block(texts[a:b])
+
+    def _block(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        raw, start, end, value, bounds = located(texts)
+        value |= U(1)  # 0 is an empty place
+        if self.used > self.MOST_IDS:
+            self.key[:], self.used = 0, 0
+        slot = (value >> U(64 - self.SLOTS.bit_length() + 1)).astype(np.int64)
+        begin, size = self.begin[slot], self.size[slot]
+        miss = np.flatnonzero(self.key[slot] != value)
+        if len(miss):
+            _, first, back = np.unique(value[miss], return_index=True, return_inverse=True)
+            at = miss[first]
+            made = self.encode([raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            n = np.fromiter(map(len, made), np.int64, len(made)) // self.kind.itemsize
+            where = self._kept(np.frombuffer(b"".join(made), self.kind)) + np.cumsum(n) - n
+            begin[miss], size[miss] = where[back], n[back]
+            self.key[slot[at]], self.begin[slot[at]], self.size[slot[at]] = value[at], where, n
+        upto = np.zeros(len(value) + 1, np.int64)
+        np.cumsum(size, out=upto[1:])
+        flat = self.store[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])]
+        places = upto[bounds].tolist()
+        for a, b in zip(places[:-1], places[1:], strict=True):
+            yield flat[a:b]
+
+    def _kept(self, ids: np.ndarray) -> int:
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.store):
+            self.store = np.concatenate([self.store[:at], np.zeros(2 * self.used - at, self.kind)])
+        self.store[at : self.used] = ids
+        return at
+
+
+def cut(text: bytes) -> Iterator[bytes]:
+    """A long text in parts of about BLOCK_BYTES that end between words."""
+    at = 0
+    while at < len(text):
+        found = GAP.search(text, at + BLOCK_BYTES)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
 def windows(flat: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of ``n`` words inside a document, and each document's bounds in them."""
     counts = np.maximum(np.diff(bounds) - (n - 1), 0)

@@ -10,11 +10,12 @@ to ids. Decoding looks all lengths up in one table of the control bytes and gath
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.bpe import WordCache, byte_letters, vocabulary_path
+from tidewatch.llm.bpe import byte_letters, cased, vocabulary_path
 from tidewatch.llm.storage import released, slots, written
-from tidewatch.llm.textcore import as_bytes
+from tidewatch.llm.textcore import WordTable, as_bytes
 
 END = 1
-#: Characters that the library gets in one text, and ids in a block (a longer document is a block of its own).
-PART_CHARS, BLOCK_IDS = 1 << 16, 1 << 18
-#: Words (in UTF-8) of lower-case Latin-1 letters, then ASCII marks but the apostrophe.
-PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)")
+#: Ids in a block (a longer document is a block of its own); pieces of words that a worker remembers, and that the library gets in one text.
+BLOCK_IDS, PIECES, GROUP = 1 << 18, 300_000, 500
+#: Lower-case Latin-1 letters in UTF-8, and ASCII marks but the apostrophe.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*")
+MARKS = bytes(x for x in range(0x21, 0x7F) if not chr(x).isalnum() and chr(x) != "'")
 #: Lengths 1 to 4 of the four ids that a control byte stands for.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -53,57 +55,56 @@ def unpack(n: int, control: bytes, data: bytes) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
-def library_words(path: str, kind: str):
-    """Encoder of words by the ``tokenizers`` library, to integers of the numpy type ``kind``.
+@functools.cache
+def library_words(path: str, kind: str) -> WordTable:
+    """Ids of words by the ``tokenizers`` library, as integers of the numpy type ``kind``; kept as long as the worker lives.
 
     A word of lower-case Latin-1 letters and then ASCII marks (no apostrophe, no digit) is unchanged by the normaliser and falls into two
-    pre-tokens, so the library's model gets these directly; most words share their letters with others. All other words go through the
-    whole tool, many in one text with a special token between them: that is matched before anything else and never merges, so each word's
-    ids stand between two of them. Words that may hold a special token's text are encoded on their own.
+    pre-tokens, so the library's model gets these directly: many in one text, told apart by the suffix that only a last token bears.
+    Many words share their letters with others. All other words go through the whole tool.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tool = Tokenizer.from_file(path)
     tool.no_truncation()
     tool.no_padding()
-    mark, mark_text = min((i, t.content) for i, t in tool.get_added_tokens_decoder().items())
-    code = "H" if kind == "<u2" else "I"
-    letters, width, model = dict(enumerate(byte_letters())), np.dtype(kind).itemsize, tool.model
-
-    class Pieces(dict):
-        def __missing__(self, piece: bytes) -> bytes:
-            ids = [t.id for t in model.tokenize(piece.decode("latin-1").translate(letters))] if piece else []
-            value = self[piece] = array(code, ids).tobytes()
-            return value
+    bare = Tokenizer(tool.model)
+    bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    letters, suffix, vocab = dict(enumerate(byte_letters())), tool.model.end_of_word_suffix, tool.get_vocab()
+    last = np.zeros(max(vocab.values()) + 1, bool)
+    last[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+    pieces: dict[bytes, bytes] = {}
+
+    def learn(new: list[bytes]) -> None:
+        """Pieces' ids, from the model alone."""
+        shown = [x.decode("latin-1").translate(letters) for x in new]
+        groups = [" ".join(shown[k : k + GROUP]) for k in range(0, len(shown), GROUP)]
+        for k, found in enumerate(bare.encode_batch_fast(groups, add_special_tokens=False)):
+            own, ids = new[k * GROUP : (k + 1) * GROUP], np.array(found.ids, kind)
+            ends = (np.flatnonzero(last[ids]) + 1).tolist()
+            if len(ends) == len(own) and ends[-1] == len(ids):
+                raw, width = ids.tobytes(), ids.itemsize
+                pieces.update(zip(own, [raw[width * a : width * b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+            else:  # a vocabulary without such a suffix
+                pieces.update((x, np.array([t.id for t in bare.model.tokenize(y)], kind).tobytes()) for x, y in zip(own, shown[k * GROUP :], strict=False))
 
     def encode(words: list[bytes]) -> list[bytes]:
-        pieces, out, hard = Pieces(), [b""] * len(words), []
-        for k, w in enumerate(words):
-            if (m := PLAIN.fullmatch(w)) and b"<|" not in w:
-                out[k] = pieces[m[1]] + pieces[m[2]]
-            elif b"<|" in w:
-                out[k] = np.array(tool.encode(w.decode(), add_special_tokens=False).ids, kind).tobytes()
-            else:
-                hard.append(k)
-        groups, size = [[]], 0
-        for k in hard:
-            groups[-1].append(k)
-            size += len(words[k])
-            if size > PART_CHARS:
-                groups.append([])
-                size = 0
-        groups = [g for g in groups if g]
-        joined = [mark_text.join(words[k].decode() for k in g) for g in groups]
-        for g, found in zip(groups, tool.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, kind)
-            at = (np.r_[-1, np.flatnonzero(ids == mark), len(ids)] * width).tolist()
-            raw = ids.tobytes()
-            for j, k in enumerate(g):
-                out[k] = raw[at[j] + width : at[j + 1]]
+        stems = [w.rstrip(MARKS) for w in words]
+        tails = [w[len(s) :] for s, w in zip(stems, words, strict=True)]
+        other = [k for k, (s, w) in enumerate(zip(stems, words, strict=True)) if not (s.isalpha() and s.islower() or LETTERS.fullmatch(s)) or b"<|" in w]
+        for k in other:
+            stems[k] = tails[k] = b""
+        if len(pieces) > PIECES:
+            pieces.clear()
+        pieces[b""] = b""
+        learn(list((set(stems) | set(tails)) - pieces.keys()))
+        out = list(map(add, map(pieces.__getitem__, stems), map(pieces.__getitem__, tails)))
+        for k in other:
+            out[k] = np.array(tool.encode(words[k].decode(), add_special_tokens=False).ids, kind).tobytes()
         return out
 
-    return encode
+    return WordTable(encode, kind)
 
 
 def id_type(path: str) -> str:
@@ -116,9 +117,10 @@ def tokenized(docs: DataFrame, path: str, kind: str, end: int) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, ids BINARY), the ids with the end id as plain integers. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, tail = WordCache(library_words(path, kind)), np.array([end], kind).tobytes()
+        words, tail = library_words(path, kind), np.array([end], kind).tobytes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([raw + tail for raw in cache.ids(as_bytes(b.column("text")))], pa.binary())], names=["doc_id", "ids"])
+            made = [ids.tobytes() + tail for ids in words.ids([cased(t) for t in as_bytes(b.column("text"))])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary")
 
