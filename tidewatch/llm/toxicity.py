@@ -15,7 +15,9 @@ from tidewatch.llm.textcore import STEP, U, WordHashes, as_bytes, chunks, mixed
 FIT_ROWS = 6000
 BITS, EPOCHS = 20, 12
 #: Per-coordinate rate alpha / (beta + sqrt(sum of squared gradients)), and the two penalties.
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.01
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 8.0, 0.01
+#: Rows of the fit that a feature must occur in: what one or two texts hold is chance.
+LEAST_ROWS = 3
 #: Marks at a word's edge mean nothing here: they count as white space.
 EDGES = bytes.maketrans(b".,;:!?|#$%&*<>()[]\"", b" " * 19)
 BIGRAM, SKIPGRAM = U(0xD1B54A32D192ED03), U(0x8CB92BA72F3D8DD7)
@@ -56,13 +58,15 @@ class Ftrl:
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for b in batches:
-        rows += zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), b.column("y").to_pylist(), strict=True)
-    rows.sort(key=lambda r: (r[0] * 2654435761 % (1 << 32), r[1]))  # one order, however the rows came
-    hashes, model, bias = WordHashes(), Ftrl(), np.array([1 << BITS])
-    each = []
+        rows += zip(b.column("h").to_pylist(), as_bytes(b.column("text")), b.column("y").to_pylist(), strict=True)
+    rows.sort()  # one order, however the rows came
+    hashes, model = WordHashes(), Ftrl()
+    each, seen = [], np.zeros((1 << BITS) + 1, np.int32)
     for _, text, y in rows:
         hashes.trim()
-        each.append((np.concatenate([np.unique(hashed(hashes, [text])[0]).astype(np.int32), bias.astype(np.int32)]), float(y)))
+        each.append((np.append(np.unique(hashed(hashes, [text])[0]), 1 << BITS).astype(np.int32), float(y)))
+        seen[each[-1][0]] += 1
+    each = [(at[seen[at] >= min(LEAST_ROWS, len(rows))], y) for at, y in each]
     for _ in range(EPOCHS):
         for at, y in each:
             model.learn(at, y)
@@ -83,8 +87,8 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[np
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).withColumn("h", F.xxhash64("doc_id"))
-    picked = known.orderBy("h", "doc_id").limit(most).select(F.col("doc_id").alias("__id"), "y")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y")
+    picked = known.orderBy("h", "doc_id").limit(most).select(F.col("doc_id").alias("__id"), "h", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("h", "text", "y")
     found = rows.repartition(1).mapInArrow(_fit, "at long, w double").toPandas()
     order = np.argsort(found["at"].to_numpy())
     return found["at"].to_numpy()[order], found["w"].to_numpy()[order]
