@@ -190,8 +190,10 @@ def encoded(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = (
     """docs(text, ...) -> the ``carry`` columns, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded.
 
     Whole texts; a null text counts as empty and has no ids. One row for every row; an empty table gives an empty result; columns that
-    are not carried are not read, so their names can't clash.
+    are not carried are not read, so their names can't clash; a carried column that bears the name of a result is refused (ValueError).
     """
+    if clash := {c.lower() for c in carry} & {"n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"}:
+        raise ValueError(f"carried columns bear names of results: {sorted(clash)}")
     path = path or vocabulary_path()
     picked = docs.select(*carry, docs["text"].alias("__text"))
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "__text"]

@@ -20,8 +20,8 @@ CONTINUATION = bytes(range(0x80, 0xC0))
 
 #: Base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: zstandard level, bytes in a chunk, bytes that a last chunk needs to be judged.
-LEVEL, CHUNK, LEAST_CHUNK = 3, 2048, 1024
+#: zstandard level, bytes in a chunk. What is left over at the end belongs to the last chunk, which then has up to twice as many.
+LEVEL, CHUNK = 3, 2048
 #: Fixed values: (texts of up to so many bytes, lowest and highest ratio of raw to compressed size). Longer texts hold more that recurs,
 #: so prose of any language compresses better with length; the highest ratio leaves a few hundredths above prose.
 BANDS = (
@@ -36,8 +36,8 @@ BANDS = (
     (65536, 1.50, 2.70),
     (math.inf, 1.50, 2.80),
 )
-#: Lowest and highest ratio of any chunk.
-CHUNK_BAND = (1.15, 2.30)
+#: Fixed values of the same kind for chunks, wider than for texts, as a chunk may be a list or a title page.
+CHUNK_BANDS = ((2048, 1.15, 2.30), (3072, 1.18, 2.36), (4096, 1.20, 2.42))
 
 
 def without(text: bytes, some: bytes) -> int:
@@ -73,21 +73,31 @@ def counted(texts: list[bytes], hashes: WordHashes) -> Iterator[tuple[list[bytes
             yield words, repeat_words(value[at[i] : at[i + 1]])
 
 
-def ratios(text: bytes, press: zstandard.ZstdCompressor) -> tuple[float, float, float]:
-    """Raw to compressed size: of the whole text, and the lowest and highest of its chunks (the whole, if it has one chunk at most)."""
+def ratios(text: bytes, press: zstandard.ZstdCompressor) -> tuple[float, list[tuple[int, float]]]:
+    """Raw to compressed size of the whole text, and (bytes, ratio) of its chunks if it is longer than one: all of the text is in them."""
     if not text:
-        return 1.0, 1.0, 1.0
+        return 1.0, []
     whole = len(text) / len(press.compress(text))
-    parts = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)] if len(text) > CHUNK else []
-    each = [len(x) / len(press.compress(x)) for x in parts if len(x) >= LEAST_CHUNK]
-    return whole, min(each, default=whole), max(each, default=whole)
+    if len(text) <= CHUNK:
+        return whole, []
+    edges = [*range(0, len(text) - CHUNK + 1, CHUNK), len(text)]
+    parts = [text[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return whole, [(len(x), len(x) / len(press.compress(x))) for x in parts]
 
 
-def in_bands(size: int, whole: float, low: float, high: float) -> bool:
-    """The method's verdict on a text of ``size`` bytes."""
-    _, least, most = next(b for b in BANDS if size <= b[0])
-    chunked = size > CHUNK
-    return least <= whole <= most and (not chunked or (CHUNK_BAND[0] <= low and high <= CHUNK_BAND[1]))
+def spread(whole: float, chunks_: list[tuple[int, float]]) -> tuple[float, float]:
+    """Lowest and highest ratio of the chunks; the whole's without chunks."""
+    return min((r for _, r in chunks_), default=whole), max((r for _, r in chunks_), default=whole)
+
+
+def inside(bands: tuple, size: int, ratio: float) -> bool:
+    _, least, most = next(b for b in bands if size <= b[0])
+    return least <= ratio <= most
+
+
+def in_bands(size: int, whole: float, chunks_: list[tuple[int, float]]) -> bool:
+    """The method's verdict on a text of ``size`` bytes: it and every chunk lie in the band for their length."""
+    return inside(BANDS, size, whole) and all(inside(CHUNK_BANDS, n, r) for n, r in chunks_)
 
 
 RULE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, chunk_low double, chunk_high double, base_failed boolean, kept boolean"
@@ -101,9 +111,9 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, (words, repeats) in zip(texts, counted(texts, hashes), strict=True):
             n = len(words)
             chars = len(text) - without(text, CONTINUATION) - sum(map(text.count, SPACES))
-            whole, low, high = ratios(text, press)
+            whole, parts = ratios(text, press)
             failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
-            rows.append((n, chars, without(text, SYMBOLS), dup_lines(text), repeats, whole, low, high, failed, not failed and in_bands(len(text), whole, low, high)))
+            rows.append((n, chars, without(text, SYMBOLS), dup_lines(text), repeats, whole, *spread(whole, parts), failed, not failed and in_bands(len(text), whole, parts)))
         made = list(zip(*rows, strict=True)) or [()] * 10
         kinds = [pa.int64()] * 5 + [pa.float64()] * 3 + [pa.bool_()] * 2
         names = [x.split()[0] for x in RULE_SCHEMA.split(", ")]
@@ -116,8 +126,10 @@ def rules(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id
 
     A null or empty text has no words, so it fails the base rule; one row for every row, repeated or not; an empty table gives an
     empty result. Columns that are not asked for are not read, so their names can't clash; a carried column must not bear the name
-    of a result.
+    of a result (ValueError).
     """
+    if clash := {c.lower() for c in carry} & {x.split()[0] for x in RULE_SCHEMA.split(", ")}:
+        raise ValueError(f"carried columns bear names of results: {sorted(clash)}")
     picked = docs.select(*[F.col(c) for c in carry], F.col(text).alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "__text"] + [RULE_SCHEMA])
     return picked.mapInArrow(_rules, schema)
@@ -131,7 +143,8 @@ def features(text: bytes, words: list[bytes], repeats: int, press: zstandard.Zst
     """Transformed statistics: logarithms of counts, square roots of shares (which evens out their spread)."""
     n, size = len(words), max(1, len(text))
     share = lambda k, of: math.sqrt(k / max(1, of))
-    whole, low, high = ratios(text, press)
+    whole, parts = ratios(text, press)
+    low, high = spread(whole, parts)
     lines = text.count(b"\n") + 1
     return [
         math.log1p(n) / 3,
@@ -162,6 +175,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_features(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), keep_text: bool = False) -> DataFrame:
+    """docs -> the ``carry`` columns (and text), x ARRAY<DOUBLE>. A null text counts as empty; one row for every row, repeated or not."""
     picked = docs.select(*carry, *["text"] * keep_text, F.col("text").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "__text"] + ["x array<double>"])
     return picked.mapInArrow(_features, schema)
@@ -289,5 +303,3 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     featured = written(with_features(docs), "quality-features")
     out = scored(featured, fitted(featured, labels))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
-
-
