@@ -1,6 +1,7 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is a queue of its documents in a shuffled, fixed order (md5 of seed and doc_id), repeated up to ``epochs`` times. A copy's
+Every source is a queue of its documents in a shuffled, fixed order (md5 of seed, doc_id, text and, for rows equal in these, a number),
+repeated up to ``epochs`` times. A copy's
 virtual finish time is the source's words up to and with it, divided by the source's target. All copies are cut into ranges of
 virtual time; the range in which the total budget is reached is sorted and cut inside, the ranges before are taken whole.
 
@@ -21,6 +22,8 @@ EPOCHS = 2
 SEED = "mix-0"
 #: Rows that a bucket of a queue and a range of virtual time hold on average, at most.
 BUCKET_ROWS = 512
+#: Equal rows that are numbered together.
+PIECE = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -59,34 +62,74 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = B
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """docs(doc_id, text, source, ...) -> one row a document: doc_id, source, size, source_size, target, copies and taken (copies * size).
 
-    A null source is a source of its own; a null or empty text has size 0 and is never taken. Repeated rows are documents of their own,
-    each with its place in the queue. An empty table gives an empty result. Reruns agree, as order and buckets depend on the rows'
-    values alone. Columns other than the three are not looked at.
+    A null source is a source of its own; a null or empty text has size 0 and is never taken. Rows that are equal in doc_id, text and
+    source are documents of their own, numbered, each with its place in the queue. An empty table gives an empty result. Reruns agree, as
+    order and buckets depend on the rows' values alone. Columns other than the three are not looked at.
     """
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    base = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    queue, copies = _taken(docs.select("doc_id", "source", "text"), weights, budget, epochs, seed)
+    out = queue.withColumn("copies", copies)
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def taken(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` with all its columns, as often as :func:`mixed` takes it. Rows that are equal in doc_id, text
+    and source, but not in other columns, may stand for one another."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.select("*", _print(F.col("text")).alias("__print"))
+    own = rows.toDF(*names, "__print")
+    doc_id, source = (names[docs.columns.index(c)] for c in ("doc_id", "source"))
+    queue, copies = _taken(docs.select("doc_id", "source", "text"), **({"weights": WEIGHTS, "budget": BUDGET, "epochs": EPOCHS, "seed": SEED} | options))
+    # Of each kind of row: how many there are, and how many of them are taken k times.
+    each = queue.withColumn("n", copies).groupBy("doc_id", "source", "print", "n").agg(F.count("*").alias("rows"))
+    kinds = each.groupBy("doc_id", "source", "print").agg(F.max("n").alias("most"), F.min("n").alias("least"), F.array_sort(F.collect_list(F.struct("n", "rows"))).alias("each"))
+    kinds = written(kinds.where("most > 0"), "mix-kinds").withColumnRenamed("doc_id", "id").withColumnRenamed("source", "of").withColumnRenamed("print", "p")
+    met = own.join(kinds, F.col(doc_id).eqNullSafe(F.col("id")) & F.col(source).eqNullSafe(F.col("of")) & (F.col("__print") == F.col("p")))
+    same = met.where("least = most").withColumn("n", F.col("most"))
+    # A kind whose rows are not all taken equally often straddles the end of the budget: one a source and epoch at most. Its rows are
+    # numbered by two levels, as they may be very many, over a table, as any numbering of them will do but it must be one.
+    odd = written(met.where("least < most").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(4096))), "mix-odd")
+    by = ["id", "of", "p"]
+    parts = odd.groupBy(*by, "part").agg(F.count("*").alias("rows"))
+    earlier = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*by, "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy(*by, "part").orderBy(*names)) + F.col("before")
+    odd = odd.alias("o").join(parts.alias("b"), _same("o", "b", *by, "part")).select("o.*", "before").withColumn("place", place)
+    # From the rows taken least often upwards.
+    upto = F.aggregate("each", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("n")), lambda x, e: F.when(x["n"] >= 0, x).otherwise(F.struct((x["sum"] + e["rows"]).alias("sum"), F.when(F.col("place") <= x["sum"] + e["rows"], e["n"]).otherwise(F.lit(-1).cast("long")).alias("n"))))
+    odd = odd.withColumn("n", upto["n"])
+    chosen = same.select(*names, "n").unionByName(odd.select(*names, "n")).where("n > 0")
+    return chosen.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*names).toDF(*docs.columns)
+
+
+def _print(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def _taken(docs: DataFrame, weights: tuple, budget: float, epochs: int, seed: str) -> tuple[DataFrame, Column]:
+    """The queue, a row a document, and how often each of its rows is taken."""
+    kinds = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _print(F.col("text")).alias("print")).groupBy("doc_id", "source", "size", "print").agg(F.count("*").alias("rows"))
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("/"), F.col("print"), F.lit("/"), F.col("number").cast("string")))
+    base = written(_numbered(written(kinds, "mix-kinds")).withColumn("key", key), "mix-sizes")
     sources = written(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, epochs), "mix-targets")
     rows = base.count()
-    queue = written(_queue(base.withColumn("key", key), sources, rows), "mix-queue")
+    queue = written(_queue(base, sources, rows), "mix-queue")
     finish = [(F.col("cum") + F.lit(e) * F.col("source_size")) / F.col("target") for e in range(epochs)]
     last = _last_taken(queue, finish, sources.agg(F.sum("target")).first()[0], rows)
     if last is None:
-        taken = [F.lit(True)] * epochs
+        inside = [F.lit(True)] * epochs
     else:
         f, k, s = (F.lit(x) for x in last)
-        taken = [(x < f) | ((x == f) & ((F.col("key") < k) | ((F.col("key") == k) & (F.coalesce("source", F.lit("")) <= s)))) for x in finish]
-    copies = sum((F.when(t & (F.col("size") > 0), 1).otherwise(0) for t in taken), F.lit(0)).cast("long")
-    out = queue.withColumn("copies", copies)
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        inside = [(x < f) | ((x == f) & ((F.col("key") < k) | ((F.col("key") == k) & (F.coalesce("source", F.lit("")) <= s)))) for x in finish]
+    return queue, sum((F.when(t & (F.col("size") > 0), 1).otherwise(0) for t in inside), F.lit(0)).cast("long")
 
 
-def taken(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` with all its columns, as often as it is taken. Rows that are equal in doc_id, source and size
-    are taken equally often: as the one of them that is taken most."""
-    copies = mixed(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("n")).where("n > 0")
-    rows = docs.withColumn("__size", n_words(F.col("text"))).alias("d")
-    rows = rows.join(copies.alias("c"), F.expr("d.doc_id <=> c.doc_id and d.source <=> c.source and d.__size = c.size"))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c.n")))).select("d.*").drop("__size")
+def _numbered(kinds: DataFrame) -> DataFrame:
+    """(..., rows) -> a row for each number from 0 to rows - 1; a large count is dealt out in pieces before it is counted out."""
+    few, many = kinds.where(F.col("rows") <= PIECE), kinds.where(F.col("rows") > PIECE)
+    whole = few.withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    piece = many.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(PIECE).cast("long")))).repartition("print", "at")
+    pieces = piece.withColumn("number", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + PIECE, F.col("rows")) - 1))).drop("at")
+    return whole.unionByName(pieces).drop("rows")
 
 
 def _same(a: str, b: str, *names: str) -> Column:
@@ -102,13 +145,13 @@ def _queue(base: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
     lead = F.conv(F.substring("key", 1, 7), 16, 10).cast("long")
     base = base.withColumn("bucket", F.shiftrightunsigned(lead, 28 - bits))
     sums = base.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("before"))
-    upto = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = _running(sums.withColumnsRenamed({"bucket": "range", "bucket_size": "range_size"}), "source")
+    sums = sums.select("source", F.col("range").alias("bucket"), (F.col("running") - F.col("range_size")).alias("before"))
+    upto = Window.partitionBy("source", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = base.withColumn("inside", F.sum("size").over(upto)).alias("q").join(sums.alias("b"), _same("q", "b", "source", "bucket"))
     out = out.select("q.*", (F.col("inside") + F.col("before")).alias("cum"))
     out = out.alias("q").join(sources.alias("s"), _same("q", "s", "source"))
-    return out.select("doc_id", "q.source", "size", "key", "cum", "source_size", "target")
+    return out.select("doc_id", "q.source", "size", "print", "key", "cum", "source_size", "target")
 
 
 def _last_taken(queue: DataFrame, finish: list[Column], limit: float | None, rows: int) -> tuple | None:
@@ -128,12 +171,13 @@ def _last_taken(queue: DataFrame, finish: list[Column], limit: float | None, row
     return tuple(last) if last else (edge["range"] / ranges, "", "")
 
 
-def _running(totals: DataFrame) -> DataFrame:
-    """Running sum over the ranges of virtual time (a row for BUCKET_ROWS copies), by two levels."""
+def _running(totals: DataFrame, *by: str) -> DataFrame:
+    """totals(by..., range, range_size) -> also running, the sum up to and with each range of its group, by two levels: no window has more
+    than 4,096 ranges, or a row for 4,096 ranges."""
     coarse = totals.withColumn("coarse", F.floor(F.col("range") / 4096))
-    upto = Window.partitionBy("coarse").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = coarse.groupBy("coarse").agg(F.sum("range_size").alias("coarse_size"))
-    earlier = Window.orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("coarse", F.coalesce(F.sum("coarse_size").over(earlier), F.lit(0)).alias("before"))
-    inside = coarse.withColumn("inside", F.sum("range_size").over(upto)).join(sums, "coarse")
-    return inside.select("range", "range_size", (F.col("inside") + F.col("before")).alias("running"))
+    upto = Window.partitionBy(*by, "coarse").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = coarse.groupBy(*by, "coarse").agg(F.sum("range_size").alias("coarse_size"))
+    earlier = Window.partitionBy(*by).orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "coarse", F.coalesce(F.sum("coarse_size").over(earlier), F.lit(0)).alias("before"))
+    inside = coarse.withColumn("inside", F.sum("range_size").over(upto)).alias("q").join(sums.alias("b"), _same("q", "b", *by, "coarse"))
+    return inside.select(*[f"q.{c}" for c in by], "range", "range_size", (F.col("inside") + F.col("before")).alias("running"))

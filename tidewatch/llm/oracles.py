@@ -24,7 +24,8 @@ g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text ||
  sum(14 + length({_ESCAPED("role", ":")}) + length({_ESCAPED("text")}))::bigint as formatted_chars from c group by conv_id)
 select conv_id, n_turns, sha256(whole) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from g"""
 
-MIXING = rf"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, {WORDS})), 0)::bigint as size, md5('mix-0' || coalesce(doc_id::varchar, 'null')) as key from documents),
+MIXING = rf"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, {WORDS})), 0)::bigint as size,
+ md5('mix-0' || coalesce(doc_id::varchar, 'null') || '/' || md5(coalesce(text, '')) || '/' || (row_number() over (partition by doc_id, source, md5(coalesce(text, ''))) - 1)::varchar) as key from documents),
 s0 as (select source, sum(size)::bigint as source_size from d group by source),
 s1 as (select *, [5.0, 2.0, 1.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as weight, source_size * 2.0::double as cap from s0),
 s2 as (select *, cap / weight as ratio from s1),
@@ -33,9 +34,9 @@ s3 as (select *, coalesce(sum(cap) over o, 0.0::double) as before_cap, coalesce(
 s4 as (select *, (all_size::double * 1.5::double - before_cap) / (all_weight - before_weight) as level from s3),
 s5 as (select level as first_level from s4 where level <= ratio order by ratio, coalesce(source, '') limit 1),
 s as (select source, source_size, case when (select count(*) from s5) = 0 then cap else least(cap, (select first_level from s5) * weight) end as target from s4),
-q as (select doc_id, d.source, size, key, source_size, target, sum(size) over (partition by d.source order by key, doc_id, size rows unbounded preceding) as cum from d join s on d.source is not distinct from s.source),
+q as (select doc_id, d.source, size, key, source_size, target, sum(size) over (partition by d.source order by key rows unbounded preceding) as cum from d join s on d.source is not distinct from s.source),
 e as (select *, (cum + epoch * source_size) / target as finish from q cross join (select unnest([0, 1]) as epoch) where size > 0 and target > 0),
 f as (select doc_id, source, size, key, sum(size) over (order by finish, key, coalesce(source, '') rows unbounded preceding) as running from e),
-n as (select doc_id, source, size, count(*) as copies from f where running <= (select sum(target) from s) * (1 + 1e-12::double) group by doc_id, source, size)
+n as (select key, source, count(*) as copies from f where running <= (select sum(target) from s) * (1 + 1e-12::double) group by key, source)
 select q.doc_id, q.source, q.size, source_size, target, coalesce(copies, 0)::bigint as copies, (coalesce(copies, 0) * q.size)::bigint as taken
-from q left join n on n.doc_id is not distinct from q.doc_id and n.source is not distinct from q.source and n.size = q.size"""
+from q left join n on n.key = q.key and n.source is not distinct from q.source"""
