@@ -210,6 +210,58 @@ def test_quality_rules(docs, texts):
     assert quality.rules(empty(docs)).count() == 0
 
 
+def test_band_verdict_by_brute_force(spark):
+    import zstandard
+
+    r, press = random.Random(8), zstandard.ZstdCompressor(level=quality.LEVEL)
+    word = lambda: "".join(r.choice("etaoinshrdlucmf") for _ in range(r.randint(1, 9)))
+    texts = [" ".join(word() for _ in range(n)) for n in (60, 200, 340, 342, 500, 700, 900, 3000) for _ in range(4)]
+    texts += [t + " again" * 200 for t in texts[::3]] + [t + bytes(r.randrange(33, 127) for _ in range(1500)).decode() for t in texts[::4]] + ["x" * 2049, "y" * 2048, None]
+    size = lambda x: len(x) / len(press.compress(x))
+    for row in quality.rules(frame(spark, texts)).collect():
+        raw = (texts[row.doc_id] or "").encode()
+        parts, at = [], 0
+        while len(raw) > 2048 and at < len(raw):  # what is left over goes to the last chunk
+            end = at + 2048 if len(raw) - at >= 4096 else len(raw)
+            parts.append(raw[at:end])
+            at = end
+        band = lambda bands, n: next(b[1:] for b in bands if n <= b[0])
+        good = not row.base_failed and all(band(b, len(x))[0] <= size(x) <= band(b, len(x))[1] for b, x in [(quality.BANDS, raw)] + [(quality.CHUNK_BANDS, p) for p in parts])
+        assert row.kept == good, len(raw)
+
+
+def test_discriminant_by_brute_force():
+    r = np.random.default_rng(4)
+    d = len(quality.FEATURES)
+    x = {k: r.standard_normal((n, d)) @ r.standard_normal((d, d)) + k for k, n in ((0, 80), (1, 120))}
+    model = quality.Discriminant({k: np.concatenate([[len(v)], v.sum(0), (v.T @ v).ravel()]) for k, v in x.items()})
+    pooled = sum(len(v) * np.cov(v.T, bias=True) for v in x.values()) / 200
+    at, density = r.standard_normal((30, d)) * 3, {}
+    for k, v in x.items():
+        c = 0.9 * np.cov(v.T, bias=True) + 0.1 * pooled
+        c = 0.98 * c + (0.02 * np.trace(c) / d + 1e-6) * np.eye(d)
+        gap = at - v.mean(0)
+        density[k] = np.log(len(v) / 200) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", gap, np.linalg.inv(c), gap)
+    assert np.allclose(model.evidence(at), np.arcsinh(density[1] - density[0]), rtol=1e-6)
+
+
+def test_ftrl_by_brute_force():
+    r, model = random.Random(9), toxicity.Ftrl()
+    z, n = Counter(), Counter()
+    weight = lambda i: 0.0 if abs(z[i]) <= toxicity.L1 else -(z[i] - np.sign(z[i]) * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(400):
+        y = float(r.random() < 0.4)
+        at = sorted(r.sample(range(12), 4) + ([20] if y else []))
+        w = [weight(i) for i in at]
+        g = 1 / (1 + np.exp(-sum(w))) - y
+        for i, x in zip(at, w, strict=True):
+            sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA
+            z[i] += g - sigma * x
+            n[i] += g * g
+        model.learn(np.array(at), y)
+    assert np.allclose(model.weights(np.arange(21)), [weight(i) for i in range(21)]) and model.weights(np.array([20]))[0] > 0
+
+
 def test_bands_reject_repetition_and_noise():
     import zstandard
 
@@ -303,7 +355,7 @@ def test_mixing(spark, docs, texts):
     assert all(abs(taken[s] - target[s]) <= max(most.values()) + most[s] for s in sizes)
     assert sum(taken.values()) <= 1.5 * sum(sizes.values()) + 1e-6
     # Brute force of the queue: copies in order of virtual finish time while the budget lasts.
-    md5 = lambda r: hashlib.md5(f"mix-0{r.doc_id}".encode()).hexdigest()
+    md5 = lambda r: hashlib.md5(f"mix-0{r.doc_id}/{hashlib.md5((texts[r.doc_id] or '').encode()).hexdigest()}/0".encode()).hexdigest()
     copies, cum = [], Counter()
     for r in sorted(out, key=md5):
         cum[r.source] += r.size
@@ -328,6 +380,25 @@ def test_mixing_empty_and_wordless(spark, docs):
     assert {r.doc_id: r.copies for r in mixing.mixed(frame(spark, ["a b"] * 4, ["x"] * 4)).collect()}.keys() == {0, 1, 2, 3}
 
 
+def test_mix_of_rows_without_id_and_repeats(spark):
+    rows = [(None, f"t{i} a b", "x") for i in range(3000)] + [(7, "one two three", "y")] * 2000 + [(i, "w " * 5, "z") for i in range(100)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, source string, c0 int")
+    out = mixing.mixed(df).collect()
+    sizes, got = {"x": 9000, "y": 6000, "z": 500}, Counter()
+    for r in out:
+        got[r.source] += r.taken
+    target = brute_targets(sizes)
+    assert len(out) == len(rows) and all(abs(got[s] - target[s]) <= 10 for s in sizes)
+    mix = mixing.taken(df)
+    assert mix.columns == df.columns
+    words = Counter()
+    for r in mix.collect():
+        words[r.source] += len(r.text.split())
+    assert words == got
+    each = Counter(r.c0 for r in mix.collect())
+    assert max(each.values()) <= 2
+
+
 # --- chat -----------------------------------------------------------------------------------------------------------------------------------------
 
 
