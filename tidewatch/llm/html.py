@@ -216,9 +216,18 @@ class Boosted:
         return out
 
 
+def follows(page: Page, v: int) -> bool:
+    """Whether an element goes with its block: an inline one, neither dead nor hidden, whose attributes name nothing but content."""
+    tag = page.tag[v]
+    named = any(k < len(TOKENS) - 1 for t in page.tokens[v] for k in TOKEN_AT.get(t, ()))
+    return v > 0 and (tag not in BLOCK or tag == "br") and tag not in DEAD and not page.hidden[v] and not named
+
+
 def decoded(page: Page, margin: np.ndarray) -> list[bool]:
-    """Which elements are in: the likeliest labelling in which all below an element that is out is out."""
+    """Which elements are in: the likeliest labelling in which all below an element that is out is out, and inline elements (whose
+    evidence counts) are where the block around them is."""
     n = len(page.tag)
+    inline = [follows(page, v) for v in range(n)]
     margin = np.clip(margin, -12, 12)
     yes, no = (-np.logaddexp(0, -margin)).tolist(), (-np.logaddexp(0, margin)).tolist()
     out, into = no[:], yes[:]
@@ -228,11 +237,11 @@ def decoded(page: Page, margin: np.ndarray) -> list[bool]:
     for v in range(n - 1, 0, -1):
         p = page.parent[v]
         out[p] += out[v]
-        into[p] += max(into[v], out[v])
+        into[p] += into[v] if inline[v] else max(into[v], out[v])
     keep = [False] * n
     keep[0] = True
     for v in range(1, n):
-        keep[v] = keep[page.parent[v]] and into[v] > out[v]
+        keep[v] = keep[page.parent[v]] and (inline[v] or into[v] > out[v])
     return keep
 
 
