@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch.functions.grades import QUALITIES
 from tidewatch.operators import arbiter, detect
 from tidewatch.operators.limits import LIMITS_SCHEMA, Policy
-from tidewatch.streaming.live import Channel
+from tidewatch.streaming.live import Channel, Kept, Processor, Refused, Rules, fresh
 
 NAN = float("nan")
 SAMPLES = "mission string, channel string, ts_us long, value double, kind string, quality string"
@@ -68,6 +70,36 @@ VECTORS = {
 }
 
 
+def test_batches_of_any_size_give_the_same_records():
+    """A channel fed in batches, cut anywhere, against one fed sample by sample."""
+    r = random.Random(6)
+    names = ("channel", "check", "low", "high", "max_rate", "allowed", "hysteresis", "persist_n", "persist_s", "max_gap_s", "reason")
+    for case in range(60):
+        own = dict(zip(names, rule(P(r.choice([0.0, 0.1]), r.randint(1, 3), r.choice([None, 4.0])), **r.choice([{}, {"max_rate": 3.0}, {"allowed": [5.0, 9.7]}])), strict=True))
+        t, rows = 0, []
+        for _ in range(r.randint(1, 80)):
+            t += r.choice([0, 1, 1, 2, 5, 80, -1])
+            rows.append((t * 10**6, r.choice([5.0, 9.7, 9.7, 11.0, 15.0, NAN]), r.choice([0, 1])))
+        single, one = Channel(own, 0.1, 0.5), []
+        for ts, v, q in rows:
+            one += single.feed(ts, v, QUALITIES[q])
+        rules, kept, many, at = Rules(own, 0.1, 0.5), Kept(), [], 0
+        while at < len(rows):
+            end = at + r.randint(1, 9)
+            ts, v, q = (np.array(x) for x in zip(*rows[at:end], strict=True))
+            new = fresh(ts, kept.seen_us)
+            kept, out = rules.applied(kept, ts[new], v[new].astype(float), q[new])
+            many, at = many + out, end
+        assert many == one and kept == single.kept, case
+
+
+def test_live_path_refuses_what_the_limits_do_not_speak_of():
+    p = Processor({"a": {}}, 0.1, 0.5, "m")
+    for key in (("m", "b"), ("n", "a")):
+        with pytest.raises(Refused):
+            next(p.handleInputRows(key, iter(()), None))
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     return run(spark, {n: v[:2] for n, v in VECTORS.items()})
