@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.functions import intervals
 from tidewatch.operators import limits, metrics, truth
@@ -48,6 +49,13 @@ def points(spans, top=60):
     return {x for x in range(-4, top) if any(a <= x <= b for a, b in spans)}
 
 
+def test_lengths_are_exact_at_real_instants(spark):
+    at = 1_705_276_800_123_456_789
+    rows = [(2 * at, 2 * (at + n)) for n in (0, 1, 2, 1000, 1001, 3072)] + [(2 * at + 1, 2 * (at + 7) - 1)]
+    out = spark.createDataFrame(rows, "a long, b long").select(intervals.length(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r.n for r in out] == [0, 1, 2, 1000, 1001, 3072, 7]
+
+
 def test_interval_algebra_against_points(spark):
     r, rows = random.Random(20260928), []
     for g in range(60):

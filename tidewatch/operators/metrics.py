@@ -36,7 +36,8 @@ def _fragments(truth: DataFrame, *by: str) -> DataFrame:
 
 
 def event_wise(events: DataFrame, alarms: DataFrame, start_us: int, end_us: int, beta: float) -> DataFrame:
-    """One row: tp, fp, fn, redundant, precision (corrected by the TNR), tnr, recall, f, alarming_precision. Channels are OR-ed.
+    """One row: tp, fp, fn, redundant, nominal_ns, false_ns (alarmed nominal time), precision (corrected by the TNR), tnr, recall, f,
+    alarming_precision. Channels are OR-ed.
 
     Events must lie in [start_us, end_us]; there must be nominal time, or the TNR is null and the precision is not corrected.
     """
@@ -59,7 +60,7 @@ def event_wise(events: DataFrame, alarms: DataFrame, start_us: int, end_us: int,
     raw = ratio(F.col("tp"), F.col("tp") + F.col("fp"))
     one = one.withColumn("fn", F.col("ids") - F.col("tp")).withColumn("raw", raw).withColumn("tnr", F.when(F.col("raw") > 0, 1 - F.col("false_ns") / F.col("nominal_ns")))
     one = one.withColumn("precision", F.col("raw") * F.coalesce("tnr", F.lit(1.0))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
-    return one.select("tp", "fp", "fn", "redundant", "precision", "tnr", "recall", f_beta(F.col("precision"), F.col("recall"), beta).alias("f"), ratio(F.col("tp"), F.col("tp") + F.col("redundant")).alias("alarming_precision"))
+    return one.select("tp", "fp", "fn", "redundant", "nominal_ns", "false_ns", "precision", "tnr", "recall", f_beta(F.col("precision"), F.col("recall"), beta).alias("f"), ratio(F.col("tp"), F.col("tp") + F.col("redundant")).alias("alarming_precision"))
 
 
 def timing_curve(latency: Column, alpha: Column, length: Column, exponent: float) -> Column:
@@ -73,7 +74,7 @@ def timing_curve(latency: Column, alpha: Column, length: Column, exponent: float
 
 
 def timing(events: DataFrame, alarms: DataFrame, end_us: int, exponent: float) -> DataFrame:
-    """(id, latency_s, quality) of every event that a detection on one of its own channels touches."""
+    """(id, latency_ns, latency_s, quality) of every event that a detection on one of its own channels touches."""
     truth = annotated(events)
     p = detections(alarms, end_us, "channel")
     parts = _fragments(truth, "id", "channel")
@@ -82,10 +83,10 @@ def timing(events: DataFrame, alarms: DataFrame, end_us: int, exponent: float) -
     # The previous anomaly is the last distinct start before.
     starts = whole.select("lo").distinct().withColumn("previous", F.lag("lo").over(Window.orderBy("lo")))
     rows = touch.join(whole, "id").join(starts, "lo")
-    length, latency = (F.col("hi") - F.col("lo")) / 2, (F.floor(F.col("first") / 2) - F.col("lo") / 2).cast("long")
-    length = length.cast("long")
-    alpha = F.least(length, ((F.col("lo") - F.coalesce("previous", F.col("lo") - 2 * length)) / 2).cast("long"))
-    return rows.select("id", (latency / 1e9).alias("latency_s"), timing_curve(latency, alpha, length, exponent).alias("quality"))
+    half = lambda x: F.shiftright(x, 1)
+    length, latency = half(F.col("hi") - F.col("lo")), half(F.col("first")) - half(F.col("lo"))
+    alpha = F.least(length, half(F.col("lo") - F.coalesce("previous", F.col("lo") - 2 * length)))
+    return rows.select("id", latency.alias("latency_ns"), (latency / 1e9).alias("latency_s"), timing_curve(latency, alpha, length, exponent).alias("quality"))
 
 
 def timing_summary(each: DataFrame) -> DataFrame:
