@@ -228,14 +228,37 @@ def test_evaluation_known_in_advance(spark):
     assert abs(e.limits[1]["channels"]["B"]["high"] - 0.98) < 0.01 and abs(e.limits[2]["channels"]["B"]["high"] - 1.64) < 0.01
 
 
-def test_commands(spark, archive, tmp_path):
+def test_commands(spark, archive, tmp_path, monkeypatch):
     source = {"path": archive.path, "mission": "test", "channels": {n: {"kind": c.kind, "unit": c.unit} for n, c in CHANNELS.items()}}
     put = lambda name, x: (tmp_path / name).write_text(yaml.safe_dump(x)) and str(tmp_path / name)
-    c = put("replay.yaml", {"source": source, "start_us": None, "end_us": None, "seed": 0, "speed": 1000.0, "wall_us": 0, "sink": str(tmp_path / "sent"), "checkpoint": str(tmp_path / "cp.json")})
-    assert cli.main(["replay", "--config", c]) == 0 and json.loads((tmp_path / "cp.json").read_text())["published"] == 22
+    c = put("replay.yaml", {"source": source, "start_us": None, "end_us": None, "seed": 0, "speed": 1000.0, "wall_us": 0, "sink": str(tmp_path / "sent"), "checkpoint": str(tmp_path / "cp.json"), "every": 5, "idle_us": S})
+    saved, whole, publish = [], files.save_position, cli._publish
+    monkeypatch.setattr(files, "save_position", lambda path, at: (saved.append(at.published), whole(path, at)))
+    sent = lambda: [r.value for r in spark.read.option("recursiveFileLookup", True).text(str(tmp_path / "sent")).collect()]
+    assert cli.main(["replay", "--config", c]) == 0 and saved == [5, 10, 15, 16, 20] and not (tmp_path / "cp.json").exists()
+    first = sorted(sent())
+    # Stopped at the third part, a run resumes there; complete, it starts anew. The lines are the same.
+    calls = []
+
+    def stopped(part, sink, before):
+        calls.append(before)
+        if calls == [0, 5, 10]:
+            raise KeyboardInterrupt
+        publish(part, sink, before)
+
+    monkeypatch.setattr(cli, "_publish", stopped)
+    assert cli.main(["replay", "--config", c]) == 130 and json.loads((tmp_path / "cp.json").read_text())["published"] == 10
+    assert cli.main(["replay", "--config", c]) == 0 and calls[3:] == [10, 15, 16, 20] and sorted(sent()) == first and len(first) == 22
     limits = put("limits.yaml", LIMITS)
     d = put("detect.yaml", {"samples": str(tmp_path / "sent"), "limits": limits, "medium": 0.5, "high": 0.65, "out": str(tmp_path / "found")})
     assert cli.main(["detect", "--config", d]) == 0 and spark.read.text(str(tmp_path / "found/events")).count() == 4
+    resent = [json.loads(x) for x in first][10:15]
+    (tmp_path / "sent" / "late").mkdir()
+    (tmp_path / "sent" / "late" / "z.json").write_text("\n".join(map(json.dumps, resent)))
+    e = put("again.yaml", {"samples": str(tmp_path / "sent"), "limits": limits, "medium": 0.5, "high": 0.65, "out": str(tmp_path / "refound")})
+    assert cli.main(["detect", "--config", e]) == 0 and sorted(r.value for r in spark.read.text(str(tmp_path / "refound/events")).collect()) == sorted(r.value for r in spark.read.text(str(tmp_path / "found/events")).collect())
+    total = next(r for r in spark.read.json(str(tmp_path / "refound/coverage")).collect() if r.channel is None)
+    assert (total.samples, total.repeats) == (27, 5)
     v = {"source": source, "margin": 0.1, "defaults": LIMITS["defaults"], "training_end_us": None, "official_train": True, "out": str(tmp_path / "own.yaml")}
     assert cli.main(["derive", "--config", put("derive.yaml", v)]) == 0 and cli.main(["derive", "--check", "--config", str(tmp_path / "derive.yaml")]) == 0
     (tmp_path / "own.yaml").write_text("changed")

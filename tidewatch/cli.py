@@ -8,7 +8,9 @@ import subprocess
 import sys
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewatch.operators import arbiter, detect, limits, replay
 from tidewatch.plans.evaluate import EvalConfig, evaluate, write
@@ -26,36 +28,51 @@ def archive_of(raw: dict) -> Archive:
 
 
 def run_replay(spark: SparkSession, config: dict, restart: bool) -> int:
-    """Publish an archive as JSON lines in stream order, from the checkpoint's position if there is one."""
-    c = files.closed(config, ("source", "start_us", "end_us", "seed", "speed", "wall_us", "sink", "checkpoint"), "replay")
+    """Publish an archive as JSON lines in stream order, in parts that end where positions are saved.
+
+    A part's folder is named by what was published before it, so a part that was cut short is written anew by the run that resumes. A
+    position is saved when its part is whole; when the stream is complete it goes, and another run starts from the beginning.
+    """
+    c = files.closed(config, ("source", "start_us", "end_us", "seed", "speed", "wall_us", "sink", "checkpoint", "every", "idle_us"), "replay")
     source = archive_of(c["source"])
     identity = replay.fingerprint(source.describe(spark), c["start_us"], c["end_us"], c["seed"])
+    checkpoint = Path(c["checkpoint"])
     if restart:
-        Path(c["checkpoint"]).unlink(missing_ok=True)
-    at = files.load_position(c["checkpoint"], identity)
+        checkpoint.unlink(missing_ok=True)
+    at = files.load_position(checkpoint, identity)
     stream = replay.published(replay.window(source.readings(spark), c["start_us"], c["end_us"]), c["start_us"], c["speed"], c["wall_us"], c["seed"])
-    if at is not None and at.ts_us is not None:
+    if at is not None:
         stream = replay.after(stream, at.ts_us, at.rank)
-    stream = stream.cache()
-    records.write_lines(records.as_samples(replay.ordered(stream)), c["sink"])
-    last = stream.selectExpr("max(struct(ts_us, rank)) as m", "count(*) as n").first()
-    if last["m"] is not None:
-        files.save_position(c["checkpoint"], files.Position(identity, (at.published if at else 0) + last["n"], *last["m"]))
+    done = at.published if at else 0
+    stream = replay.placed(stream, done).cache()
+    for r in replay.checkpoints(stream, c["every"], c["idle_us"]).orderBy("place").select("place", "ts_us", "rank").collect():
+        _publish(stream.where(F.col("place").between(done + 1, r["place"])), c["sink"], done)
+        done = r["place"]
+        files.save_position(checkpoint, files.Position(identity, done, r["ts_us"], r["rank"]))
+    _publish(stream.where(F.col("place") > done), c["sink"], done)
+    checkpoint.unlink(missing_ok=True)
+    stream.unpersist()
     return 0
 
 
+def _publish(part: DataFrame, sink: str, before: int) -> None:
+    records.write_lines(records.as_samples(replay.ordered(part)), f"{sink}/after-{before:015d}", "overwrite")
+
+
 def run_detect(spark: SparkSession, config: dict) -> int:
-    """JSON-line samples to JSON-line events, with a run header beside them."""
+    """JSON-line samples to JSON-line events and coverage, with a run header that is written first. Of samples that don't move their
+    channel forward in the order of the lines, the first arrival counts and the others are counted."""
     c = files.closed(config, ("samples", "limits", "medium", "high", "out"), "detect")
     raw = files.load_yaml(c["limits"])
     own = files.limits_frame(spark, raw)
-    samples = records.read_lines(spark, c["samples"]).dropDuplicates(["mission", "channel", "ts_us"])
-    if bad := detect.refused(samples, own, raw["mission"]).collect():
-        raise files.ConfigError("; ".join(f"{r.mission}/{r.channel}: {r.reason}" for r in bad))
-    found = arbiter.alarms(detect.scored(samples, own), c["medium"], c["high"])
-    records.write_lines(arbiter.as_events(found).orderBy("t_start", "id"), f"{c['out']}/events")
     header = {"tool": "tidewatch", "config": c, "detectors": [{"id": arbiter.DETECTOR, "config_sha256": files.config_hash(raw)}]}
     records.write_lines(spark.createDataFrame([(files.json.dumps(header, sort_keys=True),)], "header string"), f"{c['out']}/header")
+    samples = detect.fresh(records.read_lines(spark, c["samples"]), "arrival", "mission", "channel")
+    if bad := detect.refused(samples, own, raw["mission"]).collect():
+        raise files.ConfigError("; ".join(f"{r.mission}/{r.channel}: {r.reason}" for r in bad))
+    scores = detect.scored(samples.where("fresh"), own)
+    records.write_lines(arbiter.as_events(arbiter.alarms(scores, c["medium"], c["high"])).orderBy("t_start", "id"), f"{c['out']}/events")
+    records.write_lines(detect.coverage(samples, scores, "channel").orderBy("channel"), f"{c['out']}/coverage")
     return 0
 
 
@@ -116,7 +133,7 @@ def main(args: list[str] | None = None) -> int:
         return {"detect": run_detect, "evaluate": run_evaluate}[a.command](spark, config)
     except KeyboardInterrupt:
         return 130
-    except (OSError, ValueError, IngestError, TypeError) as error:
+    except (OSError, ValueError, IngestError, TypeError, PySparkException) as error:
         print(f"tidewatch: {error}", file=sys.stderr)
         return 2
 

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.instants import channel_rank_key
+from tidewatch.functions.instants import SECOND, channel_rank_key
 
 
 def channel_ranks(readings: DataFrame, seed: int) -> DataFrame:
@@ -48,6 +48,28 @@ def after(stream: DataFrame, ts_us: int, rank: int) -> DataFrame:
     return stream.where((F.col("ts_us") >= ts_us) & ((F.col("ts_us") > ts_us) | (F.col("rank") > rank)))
 
 
+def placed(stream: DataFrame, published: int = 0, stretch_us: int = 3600 * SECOND) -> DataFrame:
+    """Adds place (in the total order, after ``published`` earlier ones) and next_wall_us, when the following sample is due.
+
+    Rows are ranked inside stretches of time; what a stretch needs of the others is a row each: how many come before, what comes next.
+    """
+    rows = stream.withColumn("stretch", F.floor(F.col("ts_us") / stretch_us))
+    inside = Window.partitionBy("stretch").orderBy("ts_us", "rank")
+    each = rows.groupBy("stretch").agg(F.count("*").alias("n"), F.min_by("wall_us", F.struct("ts_us", "rank")).alias("first_us"))
+    over = Window.orderBy("stretch")
+    earlier = F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = each.select("stretch", (earlier + published).alias("before"), F.lead("first_us").over(over).alias("after_us"))
+    rows = rows.withColumn("own", F.row_number().over(inside)).withColumn("lead_us", F.lead("wall_us").over(inside)).join(each, "stretch")
+    return rows.withColumn("place", (F.col("before") + F.col("own")).cast("long")).withColumn("next_wall_us", F.coalesce("lead_us", "after_us")).drop("stretch", "own", "lead_us", "before", "after_us")
+
+
+def checkpoints(stream: DataFrame, every: int, idle_us: int) -> DataFrame:
+    """Of a stream with places: the samples after which a position is saved, each ``every``-th and those before a wait longer than
+    ``idle_us``. Not the last: a stream that is complete keeps no position."""
+    waits = (F.col("next_wall_us") - F.col("wall_us")) > idle_us
+    return stream.where(F.col("next_wall_us").isNotNull() & ((F.col("place") % every == 0) | waits))
+
+
 def fingerprint(describe: dict, start_us: int | None, end_us: int | None, seed: int) -> str:
     """Identity of a stream: data, window and seed; not its speed."""
     whole = {"source": describe, "start_us": start_us, "end_us": end_us, "seed": seed}

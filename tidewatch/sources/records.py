@@ -16,23 +16,26 @@ def to_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value"))
 
 
-def write_lines(df: DataFrame, path: str) -> None:
-    to_lines(df).write.text(path)
+def write_lines(df: DataFrame, path: str, mode: str = "error") -> None:
+    to_lines(df).write.mode(mode).text(path)
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    """(value) -> samples; blank lines are skipped, and a malformed line or an unknown key stops the job."""
+def parsed(lines: DataFrame, *more: str) -> DataFrame:
+    """(value, more...) -> samples and ``more``; blank lines are skipped, and a malformed line or an unknown key stops the job."""
     text = lines.where(F.length(F.trim("value")) > 0)
     row = F.from_json("value", SAMPLE_SCHEMA, {"mode": "FAILFAST"})
     keys = F.json_object_keys("value")
     unknown = F.size(F.array_except(keys, F.array(*[F.lit(k) for k in SAMPLE_KEYS]))) > 0
     checked = F.when(unknown | keys.isNull(), F.raise_error(F.concat(F.lit("unusable sample: "), F.col("value")))).otherwise(row)
-    s = text.select(checked.alias("s")).select("s.*")
-    return s.select("mission", "channel", of_iso(F.col("mission_ts")).alias("ts_us"), of_iso(F.col("wall_ts")).alias("wall_us"), "value", "kind", "unit", "quality")
+    s = text.select(checked.alias("s"), *more).select("s.*", *more)
+    return s.select(*more, "mission", "channel", of_iso(F.col("mission_ts")).alias("ts_us"), of_iso(F.col("wall_ts")).alias("wall_us"), "value", "kind", "unit", "quality")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return parsed(spark.read.text(path))
+    """All lines below a folder, with ``arrival``: their order by file and place in it."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    arrival = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    return parsed(lines.select("value", arrival.alias("arrival")), "arrival")
 
 
 def stream_lines(spark: SparkSession, folder: str) -> DataFrame:
