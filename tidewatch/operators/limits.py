@@ -20,8 +20,8 @@ class Policy:
     seconds: float | None = None
 
     def __post_init__(self) -> None:
-        if not 0 <= self.hysteresis <= 0.5:
-            raise ValueError("hysteresis must be in [0, 0.5]")
+        if not 0 <= self.hysteresis < 0.5:
+            raise ValueError("hysteresis must be in [0, 0.5): at one half no value would be inside")
         if (self.samples is None) == (self.seconds is None):
             raise ValueError("persistence is either a number of samples or a number of seconds")
         if self.samples is not None and self.samples < 1 or self.seconds is not None and self.seconds <= 0 or self.max_gap_s <= 0:
@@ -68,7 +68,7 @@ def derived(channels: DataFrame, nominal_values: DataFrame, margin: float, polic
     rows = rows.withColumn("rule", rule)
     pad = F.lit(float(margin)) * (F.col("hi") - F.col("lo"))
     bounded = F.col("rule") == "limits"
-    reason = F.when(F.col("rule") == "telecommand", "a telecommand is not a measurement").when(F.col("rule") == "empty", "no nominal sample in the training window").when(F.col("rule") == "constant", "constant in the training window")
+    reason = F.when(F.col("rule") == "telecommand", "telecommand").when(F.col("rule") == "empty", "untrained").when(F.col("rule") == "constant", "constant")
     return rows.select(
         *by,
         F.when(F.col("rule").isin("limits", "states"), F.col("rule")).otherwise("none").alias("check"),

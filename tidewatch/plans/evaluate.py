@@ -18,7 +18,7 @@ from tidewatch.functions import intervals
 from tidewatch.functions.instants import SECOND
 from tidewatch.operators import arbiter, detect, metrics, truth
 from tidewatch.operators.limits import Policy, cannot_fire, derived, nominal_counts
-from tidewatch.sources.files import ProtocolError, config_hash, limits_config, limits_yaml, write_atomic
+from tidewatch.sources.files import ProtocolError, check_provenance, config_hash, limits_config, limits_yaml, write_atomic
 
 
 @dataclass(frozen=True)
@@ -41,8 +41,8 @@ class EvalConfig:
     def __post_init__(self) -> None:
         if self.max_gap_s not in self.sensitivity_s:
             raise ProtocolError("the headline max_gap_s must be one of the sensitivity runs")
-        if self.medium > self.high:
-            raise ProtocolError("the medium band must not be above the high one")
+        if not 0 < self.medium <= self.high:
+            raise ProtocolError("bands must be positive, medium not above high")
         edges = [x for b in self.blocks for x in b]
         if edges != sorted(edges) or any(a >= b for a, b in self.blocks):
             raise ProtocolError("blocks must be ordered and disjoint")
@@ -80,13 +80,14 @@ def evaluate(spark: SparkSession, samples: DataFrame, channels: DataFrame, confi
     gap_us = round(first["embargo_s"] * SECOND)
     rows = [(k, a, b, a - gap_us) for k, (a, b) in enumerate(config.blocks, 1)]
     blocks = spark.createDataFrame(rows, "block int, block_start_us long, block_end_us long, training_end_us long")
-    if cut := truth.straddling(events, blocks).collect():
-        raise ProtocolError("test block boundaries cut labelled events: " + ", ".join(f"{r.id} at {r.boundary_us}" for r in cut))
+    _refuse(truth.straddling(events, blocks).select("block", F.format_string("event %s lies on its edge %d", "id", "boundary_us").alias("why")))
     nominal = samples.where(~F.col("anomaly") & (F.col("train") | F.lit(not config.official_train_only)))
     nominal = nominal.select("channel", "ts_us", "value").join(F.broadcast(blocks), F.col("ts_us") < F.col("training_end_us"))
     tested = truth.in_blocks(samples.drop("block"), blocks, "ts_us")
     own_events = truth.in_blocks(events, blocks)
-    _usable(own_events, tested, nominal, rows, config.min_events)
+    few = blocks.join(own_events.groupBy("block").agg(F.count("*").alias("n")), "block", "left").fillna(0, ["n"]).where(F.col("n") < config.min_events)
+    bare = tested.select("block", "channel").distinct().join(nominal, ["block", "channel"], "left_anti")
+    _refuse(few.select("block", F.format_string("%d events are too few", "n").alias("why")).unionByName(bare.select("block", F.format_string("%s was never trained", "channel").alias("why"))))
     out = Evaluation(lookback, first["longest_event_s"])
     # Limits of every fold, under every gap.
     pairs = channels.select("channel", "kind").join(F.broadcast(blocks.select("block")))
@@ -106,6 +107,7 @@ def evaluate(spark: SparkSession, samples: DataFrame, channels: DataFrame, confi
         mine = by_gap[config.sensitivity_s.index(config.max_gap_s)].where(F.col("block") == block)
         provenance = {"data_md5": data_md5, "training": {"start_us": None, "end_us": training_end}, "nominal": {r.channel: r.n for r in counts.where(F.col("block") == block).collect()}}
         out.limits[block] = limits_config(mine, config.mission, config.policy(), provenance)
+        check_provenance(out.limits[block], data_md5, training_end)
         here = tested.where(F.col("block") == block)
         observed = truth.observed_seconds(truth.run_spans(runs), blocks.where(F.col("block") == block)).first()
         if observed is None or not observed.observed_s:
@@ -123,14 +125,10 @@ def evaluate(spark: SparkSession, samples: DataFrame, channels: DataFrame, confi
     return out
 
 
-def _usable(events: DataFrame, tested: DataFrame, nominal: DataFrame, rows: list, least: int) -> None:
-    n = {r["block"]: r["count"] for r in events.groupBy("block").count().collect()}
-    for block, *_ in rows:
-        if n.get(block, 0) < least:
-            raise ProtocolError(f"fold {block}: {n.get(block, 0)} labelled events in the test block, fewer than {least}")
-    bare = tested.select("block", "channel").distinct().join(nominal.select("block", "channel").distinct(), ["block", "channel"], "left_anti").collect()
-    if bare:
-        raise ProtocolError("no nominal training data for " + ", ".join(sorted(f"{r.channel} in fold {r.block}" for r in bare)))
+def _refuse(troubles: DataFrame) -> None:
+    """troubles(block, why): any row stops the evaluation; the first ten are named."""
+    if found := troubles.orderBy("block", "why").limit(10).collect():
+        raise ProtocolError("folds that would mislead: " + "; ".join(f"{r.block}: {r.why}" for r in found))
 
 
 def _measured(events: DataFrame, alarms: DataFrame, samples: DataFrame, start: int, end: int, observed_s: float, config: EvalConfig) -> dict:
