@@ -9,10 +9,10 @@ from tidewatch.functions.grades import finite
 
 
 def rolling(samples: DataFrame, k: int, *by: str) -> DataFrame:
-    """Adds mean, sd and z of each finite sample against the ``k`` before it on its channel; z is null while fewer than two are known or
+    """Adds n, mean, sd and z of each finite sample against the ``k`` before it on its channel; z is null while fewer than two are known or
     they don't vary. The sample itself and the future have no part in its score."""
     before = Window.partitionBy(*by).orderBy("ts_us").rowsBetween(-k, -1)
-    rows = samples.where(finite(F.col("value"))).withColumn("mean", F.avg("value").over(before)).withColumn("sd", F.stddev_samp("value").over(before))
+    rows = samples.where(finite(F.col("value"))).withColumn("n", F.count("*").over(before)).withColumn("mean", F.avg("value").over(before)).withColumn("sd", F.stddev_samp("value").over(before))
     return rows.withColumn("z", F.when(F.col("sd") > 0, F.abs(F.col("value") - F.col("mean")) / F.col("sd")))
 
 

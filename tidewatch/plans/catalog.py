@@ -111,11 +111,13 @@ def publish_walltime(spark, d):
 @registered(q.query("select channel, ts_us, row_number() over (order by ts_us, rank) as place from t join k using (channel)", q.READINGS, "k as (select channel, row_number() over (order by sha256('0/' || channel)) - 1 as rank from (select distinct channel from t))"))
 def stream_order(spark, d):
     stream = replay.offline(t.readings(spark, d)).join(replay.channel_ranks(t.readings(spark, d), 0), "channel")
-    # Global places without one task for all rows: an hour's rows are counted, and ranked inside.
-    hour = stream.withColumn("hour", F.floor(F.col("ts_us") / (3600 * SECOND)))
-    before = hour.groupBy("hour").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("hour").orderBy("ts_us", "rank"))
-    return hour.withColumn("own", own).join(before.select("hour", "before"), "hour").select("channel", "ts_us", (F.col("before") + F.col("own")).cast("long").alias("place"))
+    return replay.placed(stream).select("channel", "ts_us", "place")
+
+
+@registered(q.query("select place, channel, ts_us from (select channel, ts_us, row_number() over w as place, lead(ts_us) over w - ts_us as wait, lead(ts_us) over w as next_us from t join k using (channel) window w as (order by ts_us, rank)) where next_us is not null and (place % 500 = 0 or wait > 900000000)", q.READINGS, "k as (select channel, row_number() over (order by sha256('0/' || channel)) - 1 as rank from (select distinct channel from t))"))
+def checkpoint_history(spark, d):
+    stream = replay.offline(t.readings(spark, d)).join(replay.channel_ranks(t.readings(spark, d), 0), "channel")
+    return replay.checkpoints(replay.placed(stream), 500, 900 * SECOND).select("place", "channel", "ts_us")
 
 
 @registered(q.query(f"select channel, ts_us, rank from t join k using (channel) where ts_us > {t.MIDDLE_US} or (ts_us = {t.MIDDLE_US} and rank > 2)", q.READINGS, "k as (select channel, (row_number() over (order by sha256('0/' || channel)) - 1)::bigint as rank from (select distinct channel from t))"))
@@ -257,26 +259,31 @@ def alarm_records(spark, d):
 
 @registered(
     q.query(
-        f"select channel, sum(samples)::bigint as samples, sum(scored)::bigint as scored, sum(firing)::bigint as firing, {q.R6('sum(scored) / sum(samples)::double')} as ratio from (select channel, count(*) as samples, count(*) filter (isfinite(value)) as scored from t where ts_us >= {t.TEST_US} group by channel) join (select channel, count(onset_us) as firing from s group by channel) using (channel) group by rollup (channel)",
+        f"select channel, sum(samples)::bigint as samples, sum(repeats)::bigint as repeats, sum(scored)::bigint as scored, sum(firing)::bigint as firing, {q.R6('sum(scored) / sum(samples - repeats)::double')} as ratio from (select channel, count(*) + count(*) filter (ts_us // 1000000 % 5 = 0) as samples, count(*) + count(*) filter (ts_us // 1000000 % 5 = 0) - count(distinct ts_us) as repeats, count(*) filter (isfinite(value)) as scored from t where ts_us >= {t.TEST_US} group by channel) join (select channel, count(onset_us) as firing from s group by channel) using (channel) group by rollup (channel)",
         q.READINGS,
         q.BOUNDS,
         q.latch(),
     )
 )
 def coverage_by_channel(spark, d):
-    samples = t.tested(t.readings(spark, d)).withColumn("fresh", F.lit(True))
-    return detect.coverage(samples, main_scores(spark, d), "channel").select("channel", "samples", "scored", "firing", r6("ratio").alias("ratio"))
+    """A fifth of the samples arrives a second time, after all others."""
+    sent = t.tested(t.readings(spark, d)).select("mission", "channel", "ts_us")
+    again = sent.where(F.floor(F.col("ts_us") / SECOND) % 5 == 0)
+    arrived = sent.withColumn("arrival", F.col("ts_us")).unionByName(again.withColumn("arrival", F.col("ts_us") + 10**17))
+    samples = detect.fresh(arrived, "arrival", "mission", "channel")
+    return detect.coverage(samples, main_scores(spark, d), "channel").select("channel", "samples", "repeats", "scored", "firing", r6("ratio").alias("ratio"))
 
 
 @registered(
     q.query(
-        "select channel, ts_us, round(case when sd > 0 then abs(value - mean) / sd end, 4) as z from (select channel, ts_us, value, avg(value) over w as mean, stddev_samp(value) over w as sd from t where isfinite(value) window w as (partition by channel order by ts_us rows between 20 preceding and 1 preceding))",
+        "select channel, ts_us, n, round(sum * 100)::bigint as hundredths, round(sd, 6) as sd, round(case when sd > 0 then abs(value - mean) / sd end, 4) as z from (select channel, ts_us, value, count(*) over w as n, sum(value) over w as sum, avg(value) over w as mean, stddev_samp(value) over w as sd from t where isfinite(value) window w as (partition by channel order by ts_us rows between 20 preceding and 1 preceding))",
         q.READINGS,
     )
 )
 def rolling_baseline(spark, d):
     rows = baseline.rolling(t.readings(spark, d), 20, "mission", "channel")
-    return rows.select("channel", "ts_us", F.round("z", 4).alias("z"))
+    # The mean as its exact sum in hundredths, as a mean of cents can end in a tie.
+    return rows.select("channel", "ts_us", "n", F.round(F.col("mean") * F.col("n") * 100).cast("long").alias("hundredths"), r6("sd").alias("sd"), F.round("z", 4).alias("z"))
 
 
 DAY_US = 86400 * SECOND
@@ -397,10 +404,10 @@ def span_difference(spark, d):
     return intervals.difference(frame, metrics._fragments(metrics.annotated(e)).select(F.col("a2").alias("a"), F.col("b2").alias("b")))
 
 
-@registered(q.query(f"select channel, count(*) as n, {q.R6('sum(ceil(hi / 2.0::double) - floor(lo / 2.0::double)) / 1e9::double')} as seconds from iv group by channel", *q.BASE, *q.TRUTH, q.JUDGED))
+@registered(q.query("select channel, count(*) as n, sum((hi + 1) // 2 - lo // 2)::bigint as ns from iv group by channel", *q.BASE, *q.TRUTH, q.JUDGED))
 def span_length(spark, d):
     spans = alarm_spans(spark, d)
-    return rounded(spans.groupBy("channel").agg(F.count("*").alias("n"), (F.sum(intervals.length(F.col("a"), F.col("b"))) / 1e9).alias("seconds")), "seconds")
+    return spans.groupBy("channel").agg(F.count("*").alias("n"), F.sum(intervals.length(F.col("a"), F.col("b"))).alias("ns"))
 
 
 # --- metrics --------------------------------------------------------------------------------------------------------------------------------
@@ -408,14 +415,14 @@ def span_length(spark, d):
 EVENT_WISE = """hit as (select tn.id, iu.lo as p from tn join iu on iu.lo <= tn.hi and tn.lo <= iu.hi),
 per as (select id, count(*) as hits from hit group by id),
 x as (select (select count(*) from per) as tp, (select count(distinct id) from tn) as ids, (select coalesce(sum(greatest(hits - 1, 0)), 0) from per)::bigint as redundant, (select count(*) from iu where lo not in (select p from hit)) as fp,
- (select sum(ceil(b / 2.0::double) - floor(a / 2.0::double)) from gaps where a <= b) as nominal_ns,
- (select coalesce(sum(ceil(least(b, hi) / 2.0::double) - floor(greatest(a, lo) / 2.0::double)), 0) from gaps join iu on lo <= b and a <= hi where a <= b) as false_ns),
+ (select sum((b + 1) // 2 - a // 2)::bigint from gaps where a <= b) as nominal_ns,
+ (select coalesce(sum((least(b, hi) + 1) // 2 - greatest(a, lo) // 2), 0)::bigint from gaps join iu on lo <= b and a <= hi where a <= b) as false_ns),
 y as (select *, ids - tp as fn, case when tp + fp > 0 then tp / (tp + fp)::double else 0 end as raw from x),
-z as (select *, case when raw > 0 then 1 - false_ns / nominal_ns end as tnr, case when ids > 0 then tp / ids::double else 0 end as recall from y),
+z as (select *, case when raw > 0 then 1 - false_ns / nominal_ns::double end as tnr, case when ids > 0 then tp / ids::double else 0 end as recall from y),
 zz as (select *, raw * coalesce(tnr, 1) as precision from z)"""
 
 
-@registered(q.query(f"select tp, fp, fn, redundant, {q.R6('precision')} as precision, {q.R6('tnr')} as tnr, {q.R6('recall')} as recall, {q.R6('case when 0.25 * precision + recall > 0 then 1.25 * precision * recall / (0.25 * precision + recall) else 0 end')} as f, {q.R6('case when tp + redundant > 0 then tp / (tp + redundant)::double else 0 end')} as alarming_precision from zz", *q.BASE, *q.TRUTH, q.JUDGED, GAPS, EVENT_WISE))
+@registered(q.query(f"select tp, fp, fn, redundant, nominal_ns, false_ns, {q.R6('precision')} as precision, {q.R6('tnr')} as tnr, {q.R6('recall')} as recall, {q.R6('case when 0.25 * precision + recall > 0 then 1.25 * precision * recall / (0.25 * precision + recall) else 0 end')} as f, {q.R6('case when tp + redundant > 0 then tp / (tp + redundant)::double else 0 end')} as alarming_precision from zz", *q.BASE, *q.TRUTH, q.JUDGED, GAPS, EVENT_WISE))
 def event_wise(spark, d):
     e, a, end = judged(spark, d)
     return rounded(metrics.event_wise(e, a, t.TEST_US, end, t.BETA), "precision", "tnr", "recall", "f", "alarming_precision")
@@ -453,10 +460,10 @@ def channel_aware(spark, d):
 TIMING = """tq0 as (select tn.id, tn.lo, tn.hi, min(iv.lo) as first from tn join iv on iv.channel = tn.channel and iv.lo <= tn.hi and tn.lo <= iv.hi group by tn.id, tn.lo, tn.hi),
 st as (select lo, lag(lo) over (order by lo) as previous from (select distinct lo from tn)),
 tq1 as (select id, (hi - lo) // 2 as len, (first - lo) // 2 as lat, least((hi - lo) // 2, (lo - coalesce(previous, lo - (hi - lo))) // 2) as alpha from tq0 join st using (lo)),
-tq as (select id, lat / 1e9::double as latency_s, case when (alpha = 0 or len = 0) and lat = 0 then 1.0 when lat <= -alpha or lat >= len then 0.0 when lat <= 0 then pow((lat + alpha) / alpha::double, 2.0) else 1.0 / (1.0 + pow(lat / (len - lat)::double, 2.0)) end::double as quality from tq1)"""
+tq as (select id, lat::bigint as latency_ns, lat / 1e9::double as latency_s, case when (alpha = 0 or len = 0) and lat = 0 then 1.0 when lat <= -alpha or lat >= len then 0.0 when lat <= 0 then pow((lat + alpha) / alpha::double, 2.0) else 1.0 / (1.0 + pow(lat / (len - lat)::double, 2.0)) end::double as quality from tq1)"""
 
 
-@registered(q.query(f"select id, {q.R6('latency_s')} as latency_s, {q.R6('quality')} as quality from tq", *q.BASE, *q.TRUTH, q.JUDGED, TIMING))
+@registered(q.query(f"select id, latency_ns, {q.R6('latency_s')} as latency_s, {q.R6('quality')} as quality from tq", *q.BASE, *q.TRUTH, q.JUDGED, TIMING))
 def timing_quality(spark, d):
     e, a, end = judged(spark, d)
     return rounded(metrics.timing(e, a, end, t.EXPONENT), "latency_s", "quality")
