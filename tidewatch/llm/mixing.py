@@ -83,11 +83,19 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     each = queue.withColumn("n", copies).groupBy("doc_id", "source", "print", "n").agg(F.count("*").alias("rows"))
     kinds = each.groupBy("doc_id", "source", "print").agg(F.max("n").alias("most"), F.min("n").alias("least"), F.array_sort(F.collect_list(F.struct("n", "rows"))).alias("each"))
     kinds = written(kinds.where("most > 0"), "mix-kinds").withColumnRenamed("doc_id", "id").withColumnRenamed("source", "of").withColumnRenamed("print", "p")
-    met = own.join(kinds, F.col(doc_id).eqNullSafe(F.col("id")) & F.col(source).eqNullSafe(F.col("of")) & (F.col("__print") == F.col("p")))
-    same = met.where("least = most").withColumn("n", F.col("most"))
+    match = F.col(doc_id).eqNullSafe(F.col("id")) & F.col(source).eqNullSafe(F.col("of")) & (F.col("__print") == F.col("p"))
+    same = own.join(kinds.where("least = most"), match).withColumn("n", F.col("most")).select(*names, "n")
+    uneven = kinds.where("least < most")
+    if few := uneven.count():
+        same = same.unionByName(_in_part(own.join(F.broadcast(uneven) if few <= PIECE else uneven, match), names))
+    return same.where("n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*names).toDF(*docs.columns)
+
+
+def _in_part(met: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of kinds that are not all taken equally often, with ``n``, how often each is."""
     # A kind whose rows are not all taken equally often straddles the end of the budget: one a source and epoch at most. Its rows are
     # numbered by two levels, as they may be very many, over a table, as any numbering of them will do but it must be one.
-    odd = written(met.where("least < most").withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(4096))), "mix-odd")
+    odd = written(met.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(4096))), "mix-odd")
     by = ["id", "of", "p"]
     parts = odd.groupBy(*by, "part").agg(F.count("*").alias("rows"))
     earlier = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,9 +104,7 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     odd = odd.alias("o").join(parts.alias("b"), _same("o", "b", *by, "part")).select("o.*", "before").withColumn("place", place)
     # From the rows taken least often upwards.
     upto = F.aggregate("each", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("n")), lambda x, e: F.when(x["n"] >= 0, x).otherwise(F.struct((x["sum"] + e["rows"]).alias("sum"), F.when(F.col("place") <= x["sum"] + e["rows"], e["n"]).otherwise(F.lit(-1).cast("long")).alias("n"))))
-    odd = odd.withColumn("n", upto["n"])
-    chosen = same.select(*names, "n").unionByName(odd.select(*names, "n")).where("n > 0")
-    return chosen.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*names).toDF(*docs.columns)
+    return odd.withColumn("n", upto["n"]).select(*names, "n")
 
 
 def _print(text: Column) -> Column:

@@ -5,6 +5,7 @@ Lineage is cut by writing a table there, so that a lost executor costs a re-read
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. Only where it is unset (tests, local mode) a folder of our own is made."""
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset, a folder of our own is made in local mode, where all tasks see it; a
+    cluster without that setting is refused (ValueError), as its machines share no temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="tidewatch-")
         spark.conf.set("spark.checkpoint.dir", found)
