@@ -66,8 +66,8 @@ def test_interval_algebra_against_points(spark):
     df = spark.createDataFrame(rows, "g int, side string, a long, b long").cache()
     left, right = df.where("side = 'l'").drop("side"), df.where("side = 'r'").drop("side")
     frame = spark.createDataFrame([(g, 0, 50) for g in range(60)], "g int, a long, b long")
-    both, one, less = ({}, {}, {})
-    for out, made in ((both, intervals.intersection(left, right, 7, "g")), (one, intervals.union(left, "g")), (less, intervals.difference(frame, left, "g"))):
+    both, one, less, rest = ({}, {}, {}, {})
+    for out, made in ((both, intervals.intersection(left, right, 7, "g")), (one, intervals.union(left, "g")), (less, intervals.difference(frame, left, 7, "g")), (rest, intervals.difference(right, left, 7, "g"))):
         for x in made.collect():
             out.setdefault(x.g, []).append((x.a, x.b))
     for g in range(60):
@@ -75,10 +75,33 @@ def test_interval_algebra_against_points(spark):
         assert points(one.get(g, [])) == points(ls)
         assert points(both.get(g, [])) == points(ls) & points(rs)
         assert points(less.get(g, [])) == set(range(0, 51)) - points(ls)
+        assert points(rest.get(g, [])) == points(rs) - points(ls)
         merged = sorted(one.get(g, []))
         assert all(b + 1 < a2 for (_, b), (a2, _) in zip(merged, merged[1:], strict=False))
 
 
+def test_spans_without_key_go_by_stretches(spark):
+    r = random.Random(4)
+    for n in (0, 1, 40):
+        rows = [(a, a + r.randint(-2, 9)) for a in (r.randint(0, 300) for _ in range(n))]
+        df = spark.createDataFrame(rows, "a long, b long")
+        one = sorted((x.a, x.b) for x in intervals.union(df, stretch=16).collect())
+        assert points(one, 510) == points(rows, 510) and all(b + 1 < a2 for (_, b), (a2, _) in zip(one, one[1:], strict=False))
+        for lo, hi in ((0, 300), (50, 60), (400, 500)):
+            assert points([(x.a, x.b) for x in intervals.complement(df, lo, hi, stretch=16).collect()], 510) == set(range(lo, hi + 1)) - points(rows, 510)
+
+
+def test_curve_by_buckets_equals_one_pass(spark):
+    r = random.Random(5)
+    rows = [(r.random() < 0.3, float(r.randint(0, 900)) / 7) for _ in range(3000)] + [(True, float("inf")), (False, None)]
+    df = spark.createDataFrame(rows, "label boolean, score double")
+    got = {x.score: (x.tp, x.fp) for x in metrics.curve(df).collect()}
+    for s in got:
+        above = rows if s is None else [x for x in rows if x[1] is not None and x[1] >= s]
+        assert got[s] == (sum(x[0] for x in above), sum(not x[0] for x in above))
+    assert metrics.curve(df.where("false")).count() == 0
+
+
 ALARM = "channel string, t_start_us long, t_end_us long, fired_at_us long"
 EVENT = "id string, channel string, start_us long, end_us long"
 

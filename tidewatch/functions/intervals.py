@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.running import carried
+
+#: Stretch of the grid that a task merges where spans have no key: six hours of doubled nanoseconds.
+STRETCH = 2 * 6 * 3600 * 10**9
+
 
 def lower(at: Column, closed: bool = True) -> Column:
     return at * 2 + (0 if closed else 1)
@@ -23,13 +28,25 @@ def length(a: Column, b: Column) -> Column:
     return F.shiftright(b + 1, 1) - F.shiftright(a, 1)
 
 
-def union(spans: DataFrame, *by: str) -> DataFrame:
-    """spans(by..., a, b) -> maximal intervals of each group's union; empty ones vanish. One exchange on ``by``."""
-    within = Window.partitionBy(*by).orderBy("a", "b")
+def union(spans: DataFrame, *by: str, stretch: int = STRETCH) -> DataFrame:
+    """spans(by..., a, b) -> maximal intervals of each group's union; empty ones vanish.
+
+    One exchange on ``by``. Without it spans are merged inside stretches of the grid by their start, which a row a stretch connects.
+    """
+    rows = spans.where("a <= b").select(*by, "a", "b")
+    if not by:
+        rows = rows.groupBy("a").agg(F.max("b").alias("b")).withColumn("stretch", F.floor(F.col("a") / stretch))
+        rows = carried(rows, "stretch", reach=(F.max("b"), F.max))
+    key = list(by) or ["stretch"]
+    within = Window.partitionBy(*key).orderBy("a", "b")
     reach = F.max("b").over(within.rowsBetween(Window.unboundedPreceding, -1))
-    rows = spans.where("a <= b").select(*by, "a", "b").withColumn("new", F.coalesce((F.col("a") > reach + 1).cast("int"), F.lit(1)))
-    rows = rows.withColumn("island", F.sum("new").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return rows.groupBy(*by, "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")
+    reach = reach if by else F.greatest(reach, "reach")
+    rows = rows.withColumn("new", F.coalesce((F.col("a") > reach + 1).cast("int"), F.lit(1)))
+    island = F.sum("new").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if not by:
+        rows = carried(rows, "stretch", earlier=(F.sum("new"), F.sum))
+        island = island + F.coalesce("earlier", F.lit(0))
+    return rows.withColumn("island", island).groupBy(*by, "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")
 
 
 def overlaps(left: DataFrame, right: DataFrame, width: int, *on: str) -> DataFrame:
@@ -50,22 +67,25 @@ def intersection(left: DataFrame, right: DataFrame, width: int, *by: str) -> Dat
     return union(pairs.select(*by, F.greatest("a", "a2").alias("a"), F.least("b", "b2").alias("b")), *by)
 
 
-def difference(outer: DataFrame, holes: DataFrame, *by: str) -> DataFrame:
-    """outer(by..., a, b), one interval a group, minus holes(by..., a, b): the pieces between the holes' islands."""
+def complement(holes: DataFrame, lo: int, hi: int, stretch: int = STRETCH) -> DataFrame:
+    """The interval [lo, hi] of the grid minus all holes(a, b): the pieces before each of the holes' islands, and the one after the last."""
+    merged = union(holes.select("a", "b"), stretch=stretch).withColumn("stretch", F.floor(F.col("a") / stretch))
+    merged = carried(merged, "stretch", reach=(F.max("b"), F.max))
+    # Islands are disjoint, so the end before is the greatest end so far.
+    before = F.coalesce(F.lag("b").over(Window.partitionBy("stretch").orderBy("a")), "reach")
+    low, high = F.lit(lo).cast("long"), F.lit(hi).cast("long")
+    pieces = merged.select(F.greatest(low, F.coalesce(before + 1, low)).alias("a"), F.least(high, F.col("a") - 1).alias("b"))
+    tail = merged.agg(F.max("b").alias("last")).select(F.greatest(low, F.coalesce(F.col("last") + 1, low)).alias("a"), high.alias("b"))
+    return pieces.unionByName(tail).where("a <= b")
+
+
+def difference(outer: DataFrame, holes: DataFrame, width: int, *by: str) -> DataFrame:
+    """outer(by..., a, b) minus holes(by..., a, b) as sets, within each group: the maximal intervals left. Any number of intervals a group."""
     merged = union(holes.select(*by, "a", "b"), *by)
-    frame = outer.select(*by, F.col("a").alias("lo"), F.col("b").alias("hi"))
-    within = Window.partitionBy(*by).orderBy("a")
-    if by:
-        inside = frame.join(merged, list(by), "left")
-    else:
-        inside = frame.join(merged, F.lit(True), "left")
-    inside = inside.where("a is null or (b >= lo and a <= hi)").withColumn("before", F.lag("b").over(within)).withColumn("last", F.lead("a").over(within).isNull())
-    pieces = F.array(
-        F.struct(F.greatest(F.col("lo"), F.coalesce(F.col("before") + 1, F.col("lo"))).alias("a"), F.coalesce(F.col("a") - 1, F.col("hi")).alias("b")),
-        F.when(F.col("last") & F.col("b").isNotNull(), F.struct((F.col("b") + 1).alias("a"), F.col("hi").alias("b"))),
-    )
-    # A group whose holes all lie outside it keeps no row above: it comes back whole.
-    rows = inside.select(*by, "lo", "hi", F.explode(pieces).alias("p")).where("p is not null").select(*by, F.col("p.a").alias("a"), F.col("p.b").alias("b")).where("a <= b")
-    untouched = frame.join(merged, [F.col("b") >= F.col("lo"), F.col("a") <= F.col("hi"), *[frame[c].eqNullSafe(merged[c]) for c in by]], "left_anti")
-    untouched = untouched.select(*by, F.col("lo").alias("a"), F.col("hi").alias("b"))
-    return rows.unionByName(untouched).distinct()
+    kept = union(outer.select(*by, "a", "b"), *by)
+    frame = kept.groupBy(*by).agg(F.min("a").alias("lo"), F.max("b").alias("hi"))
+    inside = frame.join(merged, list(by), "left")
+    before = F.lag("b").over(Window.partitionBy(*by).orderBy("a"))
+    gaps = inside.select(*by, F.greatest("lo", F.coalesce(before + 1, "lo")).alias("a"), F.coalesce(F.least("hi", F.col("a") - 1), "hi").alias("b"))
+    tail = inside.groupBy(*by).agg(F.max("lo").alias("lo"), F.max("hi").alias("b"), F.max("b").alias("last")).select(*by, F.greatest("lo", F.col("last") + 1).alias("a"), "b").where(F.col("last").isNotNull())
+    return intersection(kept, gaps.unionByName(tail).where("a <= b"), width, *by)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import intervals
 from tidewatch.functions.grades import f_beta, ratio
 from tidewatch.functions.instants import SECOND, nanos
+from tidewatch.functions.running import by_quantiles
 
 #: Cell of the overlap joins on the doubled nanosecond grid: six hours.
 CELL = 2 * 6 * 3600 * 10**9
@@ -43,22 +44,20 @@ def event_wise(events: DataFrame, alarms: DataFrame, start_us: int, end_us: int,
     """
     truth = annotated(events)
     p = detections(alarms, end_us)
-    fragments = _fragments(truth, "id")
-    touch = intervals.overlaps(p, fragments, CELL)
-    hits = touch.groupBy("id", "a2").agg(F.count("*").alias("hits"))
-    found = hits.agg(F.count_distinct("id").alias("tp"), F.coalesce(F.sum(F.greatest(F.col("hits") - 1, F.lit(0))), F.lit(0)).alias("redundant"))
-    all_ids = truth.agg(F.count_distinct("id").alias("ids"))
-    false = p.join(touch.select("a").distinct(), "a", "left_anti").agg(F.count("*").alias("fp"))
-    everything = _fragments(truth).select(F.col("a2").alias("a"), F.col("b2").alias("b"))
-    frame = p.sparkSession.range(1).select(F.lit(2000 * start_us).alias("a"), F.lit(2000 * end_us).alias("b"))
-    nominal = intervals.difference(frame, everything)
-    off = nominal.agg(F.sum(intervals.length(F.col("a"), F.col("b"))).alias("nominal_ns"))
-    wrong = intervals.intersection(nominal, p, CELL).agg(F.coalesce(F.sum(intervals.length(F.col("a"), F.col("b"))), F.lit(0)).alias("false_ns"))
-    one = found
-    for other in (all_ids, false, off, wrong):  # one row each
-        one = one.join(other)
+    touch = intervals.overlaps(p, _fragments(truth, "id"), CELL)
+    hits = touch.groupBy("id", "a2").agg(F.count("*").alias("hits")).groupBy("id").agg(F.sum(F.col("hits") - 1).alias("redundant"))
+    nominal = intervals.complement(truth.select(F.col("a2").alias("a"), F.col("b2").alias("b")), 2000 * start_us, 2000 * end_us)
+    ns = intervals.length(F.col("a"), F.col("b"))
+    # Every part of the result is a sum over rows of one union.
+    names = ("tp", "redundant", "ids", "fp", "nominal_ns", "false_ns")
+    rows = lambda df, **given: df.select(*[given.get(n, F.lit(None)).cast("long").alias(n) for n in names])
+    parts = rows(hits, tp=F.lit(1), redundant=F.col("redundant"))
+    parts = parts.unionByName(rows(truth.select("id").distinct(), ids=F.lit(1)))
+    parts = parts.unionByName(rows(p.join(touch.select("a").distinct(), "a", "left_anti"), fp=F.lit(1)))
+    parts = parts.unionByName(rows(nominal, nominal_ns=ns)).unionByName(rows(intervals.overlaps(nominal, p.select(F.col("a").alias("a2"), F.col("b").alias("b2")), CELL).select(F.greatest("a", "a2").alias("a"), F.least("b", "b2").alias("b")), false_ns=ns))
+    one = parts.agg(*[(F.sum(n) if n == "nominal_ns" else F.coalesce(F.sum(n), F.lit(0))).alias(n) for n in names])
     raw = ratio(F.col("tp"), F.col("tp") + F.col("fp"))
-    one = one.withColumn("fn", F.col("ids") - F.col("tp")).withColumn("raw", raw).withColumn("tnr", F.when(F.col("raw") > 0, 1 - F.col("false_ns") / F.col("nominal_ns")))
+    one = one.withColumn("fn", F.col("ids") - F.col("tp")).withColumn("raw", raw).withColumn("tnr", F.when((F.col("raw") > 0) & (F.col("nominal_ns") > 0), 1 - F.col("false_ns") / F.col("nominal_ns")))
     one = one.withColumn("precision", F.col("raw") * F.coalesce("tnr", F.lit(1.0))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
     return one.select("tp", "fp", "fn", "redundant", "nominal_ns", "false_ns", "precision", "tnr", "recall", f_beta(F.col("precision"), F.col("recall"), beta).alias("f"), ratio(F.col("tp"), F.col("tp") + F.col("redundant")).alias("alarming_precision"))
 
@@ -146,26 +145,30 @@ def confusion(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def curve(rows: DataFrame) -> DataFrame:
-    """rows(label, score) -> a point for each distinct score, descending: tp, fp, recall, precision, fpr.
+    """rows(label, score) -> a point for each distinct score, descending: pos, neg (its own rows), tp, fp, recall, precision, fpr.
 
-    The running sums go over distinct scores in one ordered window, as the curve is a single sequence; equal scores collapse before.
+    Distinct scores are dealt out by their quantiles; running sums go inside a bucket and over a row a bucket. Rows without a score come last.
     """
-    at = rows.groupBy("score").agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
-    order = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = at.select("score", F.sum("pos").over(order).alias("tp"), F.sum("neg").over(order).alias("fp"), F.sum("pos").over(whole).alias("all_pos"), F.sum("neg").over(whole).alias("all_neg"))
-    return out.select("score", "tp", "fp", (F.col("tp") / F.col("all_pos")).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("fp") / F.col("all_neg")).alias("fpr"))
+    at = rows.groupBy(F.col("score").cast("double").alias("score")).agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
+    at = by_quantiles(at, "score", "bucket")
+    each = at.groupBy("bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    earlier, whole = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    each = each.select("bucket", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in "pn"], *[F.sum(c).over(whole).alias(f"all_{c}") for c in "pn"])
+    order = Window.partitionBy("bucket").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = at.join(each, "bucket").withColumn("tp", F.sum("pos").over(order) + F.col("p_before")).withColumn("fp", F.sum("neg").over(order) + F.col("n_before"))
+    return out.select("score", "pos", "neg", "tp", "fp", (F.col("tp") / F.nullif("all_p", F.lit(0))).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("fp") / F.nullif("all_n", F.lit(0))).alias("fpr"))
 
 
 def average_precision(points: DataFrame) -> DataFrame:
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(Window.orderBy(F.col("score").desc())), F.lit(0.0))
-    return points.withColumn("area", step * F.col("precision")).agg(F.sum("area").alias("average_precision"))
+    """Each point adds its step in recall, which is its own positives', times its precision."""
+    return points.agg(F.sum(F.when(F.col("tp") > 0, F.col("recall") * F.col("pos") / F.col("tp")).otherwise(0.0) * F.col("precision")).alias("average_precision"))
 
 
 def roc_auc(points: DataFrame) -> DataFrame:
-    order = Window.orderBy(F.col("score").desc())
-    x, y = (F.coalesce(F.lag(c).over(order), F.lit(0.0)) for c in ("fpr", "recall"))
-    return points.withColumn("area", (F.col("fpr") - x) * (F.col("recall") + y) / 2).agg(F.sum("area").alias("roc_auc"))
+    """Trapezoids between a point and the one before: a point's own rows tell where that lies."""
+    width = F.when(F.col("fp") > 0, F.col("fpr") * F.col("neg") / F.col("fp")).otherwise(0.0)
+    height = F.when(F.col("tp") > 0, F.col("recall") * (2 * F.col("tp") - F.col("pos")) / F.col("tp")).otherwise(0.0)
+    return points.agg(F.sum(width * height / 2).alias("roc_auc"))
 
 
 def summary(folds: DataFrame, measures: list[str]) -> DataFrame:

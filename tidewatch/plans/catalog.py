@@ -400,8 +400,7 @@ GAPS = "gaps as (select coalesce(lag(hi) over (order by lo) + 1, (select start_u
 @registered(q.query("select a, b from gaps where a <= b", *q.BASE, *q.TRUTH, q.JUDGED, GAPS))
 def span_difference(spark, d):
     e, _, end = judged(spark, d)
-    frame = spark.range(1).select(F.lit(2000 * t.TEST_US).alias("a"), F.lit(2000 * end).alias("b"))
-    return intervals.difference(frame, metrics._fragments(metrics.annotated(e)).select(F.col("a2").alias("a"), F.col("b2").alias("b")))
+    return intervals.complement(metrics.annotated(e).select(F.col("a2").alias("a"), F.col("b2").alias("b")), 2000 * t.TEST_US, 2000 * end)
 
 
 @registered(q.query("select channel, count(*) as n, sum((hi + 1) // 2 - lo // 2)::bigint as ns from iv group by channel", *q.BASE, *q.TRUTH, q.JUDGED))
@@ -533,7 +532,7 @@ cv as (select score, (sum(pos) over w)::bigint as tp, (sum(neg) over w)::bigint
 
 @registered(q.query(f"select score, tp, fp, {q.R6('recall')} as recall, {q.R6('precision')} as precision, {q.R6('fpr')} as fpr from cv", JUDGE, CURVE))
 def pr_curve(spark, d):
-    return rounded(metrics.curve(judged_docs(spark, d)), "recall", "precision", "fpr")
+    return rounded(metrics.curve(judged_docs(spark, d)).drop("pos", "neg"), "recall", "precision", "fpr")
 
 
 @registered(q.query(f"select {q.R6('sum(area)')} as average_precision from (select (recall - coalesce(lag(recall) over (order by score desc), 0)) * precision as area from cv)", JUDGE, CURVE))
