@@ -31,22 +31,26 @@ def length(a: Column, b: Column) -> Column:
 def union(spans: DataFrame, *by: str, stretch: int = STRETCH) -> DataFrame:
     """spans(by..., a, b) -> maximal intervals of each group's union; empty ones vanish.
 
-    One exchange on ``by``. Without it spans are merged inside stretches of the grid by their start, which a row a stretch connects.
+    One exchange on ``by``. Without it spans are cut at stretches of the grid and merged inside each; then only what reaches an edge of its
+    stretch, at most two intervals each, goes to one task to be joined.
     """
     rows = spans.where("a <= b").select(*by, "a", "b")
-    if not by:
-        rows = rows.groupBy("a").agg(F.max("b").alias("b")).withColumn("stretch", F.floor(F.col("a") / stretch))
-        rows = carried(rows, "stretch", reach=(F.max("b"), F.max))
-    key = list(by) or ["stretch"]
-    within = Window.partitionBy(*key).orderBy("a", "b")
+    if by:
+        return _merged(rows, *by)
+    first = lambda c: F.expr(f"{c} div {stretch}L - if({c} < 0 and {c} % {stretch}L <> 0, 1, 0)")
+    rows = rows.withColumn("lo", F.explode(F.transform(F.sequence(first("a"), first("b")), lambda k: k * stretch)))
+    rows = rows.select("lo", F.greatest("a", "lo").alias("a"), F.least(F.col("b"), F.col("lo") + (stretch - 1)).alias("b"))
+    merged = _merged(rows, "lo")
+    edge = (F.col("a") == F.col("lo")) | (F.col("b") == F.col("lo") + (stretch - 1))
+    return merged.where(~edge).select("a", "b").unionByName(_merged(merged.where(edge).select("a", "b")))
+
+
+def _merged(rows: DataFrame, *by: str) -> DataFrame:
+    within = Window.partitionBy(*by).orderBy("a", "b")
     reach = F.max("b").over(within.rowsBetween(Window.unboundedPreceding, -1))
-    reach = reach if by else F.greatest(reach, "reach")
     rows = rows.withColumn("new", F.coalesce((F.col("a") > reach + 1).cast("int"), F.lit(1)))
-    island = F.sum("new").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    if not by:
-        rows = carried(rows, "stretch", earlier=(F.sum("new"), F.sum))
-        island = island + F.coalesce("earlier", F.lit(0))
-    return rows.withColumn("island", island).groupBy(*by, "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")
+    rows = rows.withColumn("island", F.sum("new").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return rows.groupBy(*by, "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")
 
 
 def overlaps(left: DataFrame, right: DataFrame, width: int, *on: str) -> DataFrame:

@@ -46,18 +46,23 @@ def event_wise(events: DataFrame, alarms: DataFrame, start_us: int, end_us: int,
     p = detections(alarms, end_us)
     touch = intervals.overlaps(p, _fragments(truth, "id"), CELL)
     hits = touch.groupBy("id", "a2").agg(F.count("*").alias("hits")).groupBy("id").agg(F.sum(F.col("hits") - 1).alias("redundant"))
-    nominal = intervals.complement(truth.select(F.col("a2").alias("a"), F.col("b2").alias("b")), 2000 * start_us, 2000 * end_us)
-    ns = intervals.length(F.col("a"), F.col("b"))
+    lo, hi = F.lit(2000 * start_us).cast("long"), F.lit(2000 * end_us).cast("long")
+    within = lambda df: df.select(F.greatest("a", lo).alias("a"), F.least("b", hi).alias("b")).where("a <= b")
+    labelled = within(intervals.union(truth.select(F.col("a2").alias("a"), F.col("b2").alias("b")))).select(F.col("a").alias("a2"), F.col("b").alias("b2"))
+    ns, ns2 = intervals.length(F.col("a"), F.col("b")), intervals.length(F.col("a2"), F.col("b2"))
+    # Lengths add up: nominal time is the range less what is labelled, and so is the alarmed part of it.
+    both = intervals.overlaps(within(p), labelled, CELL).select(F.greatest("a", "a2").alias("a"), F.least("b", "b2").alias("b"))
     # Every part of the result is a sum over rows of one union.
-    names = ("tp", "redundant", "ids", "fp", "nominal_ns", "false_ns")
-    rows = lambda df, **given: df.select(*[given.get(n, F.lit(None)).cast("long").alias(n) for n in names])
+    names = ("tp", "redundant", "ids", "fp", "labelled_ns", "false_ns")
+    rows = lambda df, **given: df.select(*[given.get(n, F.lit(0)).cast("long").alias(n) for n in names])
     parts = rows(hits, tp=F.lit(1), redundant=F.col("redundant"))
     parts = parts.unionByName(rows(truth.select("id").distinct(), ids=F.lit(1)))
     parts = parts.unionByName(rows(p.join(touch.select("a").distinct(), "a", "left_anti"), fp=F.lit(1)))
-    parts = parts.unionByName(rows(nominal, nominal_ns=ns)).unionByName(rows(intervals.overlaps(nominal, p.select(F.col("a").alias("a2"), F.col("b").alias("b2")), CELL).select(F.greatest("a", "a2").alias("a"), F.least("b", "b2").alias("b")), false_ns=ns))
-    one = parts.agg(*[(F.sum(n) if n == "nominal_ns" else F.coalesce(F.sum(n), F.lit(0))).alias(n) for n in names])
+    parts = parts.unionByName(rows(labelled, labelled_ns=ns2)).unionByName(rows(within(p), false_ns=ns)).unionByName(rows(both, false_ns=-ns))
+    one = parts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    one = one.withColumn("nominal_ns", F.nullif(intervals.length(lo, hi) - F.col("labelled_ns"), F.lit(0)))
     raw = ratio(F.col("tp"), F.col("tp") + F.col("fp"))
-    one = one.withColumn("fn", F.col("ids") - F.col("tp")).withColumn("raw", raw).withColumn("tnr", F.when((F.col("raw") > 0) & (F.col("nominal_ns") > 0), 1 - F.col("false_ns") / F.col("nominal_ns")))
+    one = one.withColumn("fn", F.col("ids") - F.col("tp")).withColumn("raw", raw).withColumn("tnr", F.when(F.col("raw") > 0, 1 - F.col("false_ns") / F.col("nominal_ns")))
     one = one.withColumn("precision", F.col("raw") * F.coalesce("tnr", F.lit(1.0))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
     return one.select("tp", "fp", "fn", "redundant", "nominal_ns", "false_ns", "precision", "tnr", "recall", f_beta(F.col("precision"), F.col("recall"), beta).alias("f"), ratio(F.col("tp"), F.col("tp") + F.col("redundant")).alias("alarming_precision"))
 
