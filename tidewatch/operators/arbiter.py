@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,33 @@ from tidewatch.functions.instants import event_id, seconds
 DETECTOR = "r0_limits"
 
 
-def alarms(scores: DataFrame, medium: float, high: float, by: tuple[str, ...] = ("mission", "channel"), detector: str = DETECTOR) -> DataFrame:
+def _column(x: float | str | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def bands(of: dict[str, tuple[float, float]], detector: str = "detector") -> tuple[Column, Column]:
+    """(medium, high) of the detector that a column names; a detector without bands stops the job."""
+    if wrong := sorted(k for k, (medium, high) in of.items() if not 0 < medium <= high):
+        raise ValueError(f"bands must be positive, medium not above high: {wrong}")
+    missing = F.raise_error(F.concat(F.lit("no severity bands for detector "), F.coalesce(F.col(detector), F.lit("null")))).cast("double")
+    out = []
+    for side in (0, 1):
+        value = missing
+        for name, pair in of.items():
+            value = F.when(F.col(detector) == name, F.lit(float(pair[side]))).otherwise(value)
+        out.append(value)
+    return out[0], out[1]
+
+
+def admitted(published: DataFrame, hook: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Records as a hook lets them through: it may replace or drop each, not change their columns."""
+    out = hook(published)
+    if out.columns != published.columns:
+        raise ValueError(f"a hook must keep the columns {published.columns}, it gave {out.columns}")
+    return out
+
+
+def alarms(scores: DataFrame, medium: float | Column, high: float | Column, by: tuple[str, ...] = ("mission", "channel"), detector: str | Column = DETECTOR) -> DataFrame:
     """Final state of every event: by..., id, t_start_us, t_end_us, fired_at_us, delay_s, peak, severity, quality, n_firing.
 
     ``t_end_us`` is the last firing score, or null if no score of the subject follows it: then the event is still open.
@@ -23,26 +51,26 @@ def alarms(scores: DataFrame, medium: float, high: float, by: tuple[str, ...] =
     )
     return events.select(
         *by,
-        event_id(F.col("mission"), F.lit(detector), F.col("channel"), F.col("onset_us")).alias("id"),
+        event_id(F.col("mission"), _column(detector), F.col("channel"), F.col("onset_us")).alias("id"),
         F.col("onset_us").alias("t_start_us"),
         F.when(F.col("last_us") > F.col("last_firing_us"), F.col("last_firing_us")).alias("t_end_us"),
         "fired_at_us",
         seconds(F.col("fired_at_us") - F.col("onset_us")).alias("delay_s"),
         "peak",
-        severity(F.col("peak"), F.lit(medium), F.lit(high)).alias("severity"),
+        severity(F.col("peak"), _column(medium), _column(high)).alias("severity"),
         name_of(F.col("worst")).alias("quality"),
         "n_firing",
     )
 
 
-def records(scores: DataFrame, medium: float, high: float, by: tuple[str, ...] = ("mission", "channel"), detector: str = DETECTOR) -> DataFrame:
+def records(scores: DataFrame, medium: float | Column, high: float | Column, by: tuple[str, ...] = ("mission", "channel"), detector: str | Column = DETECTOR) -> DataFrame:
     """The upserts about events in the order of ``at_us`` (the score that caused them): opened, rise of severity, close, or finish at the
     end of the stream for those still open (``at_us`` null). Each carries the running peak and worst quality."""
     order = Window.partitionBy(*by).orderBy("ts_us")
     rows = scores.withColumn("next_us", F.lead("ts_us").over(order)).withColumn("next_onset", F.lead("onset_us").over(order)).where("firing")
     upto = Window.partitionBy(*by, "onset_us").orderBy("ts_us").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("peak", F.max("score").over(upto)).withColumn("worst", F.max(rank_of(F.col("quality"))).over(upto)).withColumn("fired_at_us", F.min("ts_us").over(upto))
-    rows = rows.withColumn("band", severity(F.col("peak"), F.lit(medium), F.lit(high)))
+    rows = rows.withColumn("band", severity(F.col("peak"), _column(medium), _column(high)))
     rows = rows.withColumn("before", F.lag("band").over(Window.partitionBy(*by, "onset_us").orderBy("ts_us")))
     before, over = F.col("before"), ~F.col("next_onset").eqNullSafe(F.col("onset_us"))
     made = F.array_compact(
@@ -56,7 +84,7 @@ def records(scores: DataFrame, medium: float, high: float, by: tuple[str, ...] =
     rows = rows.withColumn("r", F.explode(made))
     return rows.select(
         *by,
-        event_id(F.col("mission"), F.lit(detector), F.col("channel"), F.col("onset_us")).alias("id"),
+        event_id(F.col("mission"), _column(detector), F.col("channel"), F.col("onset_us")).alias("id"),
         "r.kind",
         "r.at_us",
         F.col("onset_us").alias("t_start_us"),

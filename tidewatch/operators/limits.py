@@ -95,3 +95,11 @@ def cannot_fire(samples: DataFrame, limits: DataFrame, *by: str) -> DataFrame:
     inside = F.col("max_rate").isNull() & (F.col("low") <= F.col("lo")) & (F.col("hi") <= F.col("high"))
     known = ~F.col("strange")
     return rows.select(*by, F.when(F.col("check") == "limits", inside).when(F.col("check") == "states", known).otherwise(F.lit(True)).alias("cannot_fire"))
+
+
+def lookback(limits: DataFrame, *by: str) -> DataFrame:
+    """limits(by..., ...) -> (by..., lookback_s): the longest of the checked channels, 0 where none is checked."""
+    gap = F.col("max_gap_s")
+    reach = F.coalesce((F.col("persist_n") - 1) * gap, F.col("persist_s") + gap) + F.when((F.col("check") == "limits") & F.col("max_rate").isNotNull(), gap).otherwise(0.0)
+    longest = F.coalesce(F.max(F.when(F.col("check") != "none", reach)), F.lit(0.0)).alias("lookback_s")
+    return limits.groupBy(*by).agg(longest) if by else limits.agg(longest)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.instants import SECOND
+from tidewatch.functions import intervals
+from tidewatch.functions.instants import SECOND, nanos
 
 
 def segments(samples: DataFrame) -> DataFrame:
@@ -64,3 +65,19 @@ def in_blocks(events: DataFrame, blocks: DataFrame, at: str = "start_us") -> Dat
 def embargo(lookback_s: float, events: DataFrame) -> DataFrame:
     """Longest lookback plus the longest labelled event, over all labels."""
     return events.agg((F.max(F.col("end_us") - F.col("start_us")) / float(SECOND)).alias("longest_event_s")).select((F.col("longest_event_s") + lookback_s).alias("embargo_s"), "longest_event_s")
+
+
+def flagged_spans(series: DataFrame, start_us: int, end_us: int, *by: str) -> DataFrame:
+    """series(by..., ts_us, flagged), a step series -> (by..., a, b) of its flagged stretches on the doubled nanosecond grid.
+
+    The first and last values hold to the ends of the range. A stretch runs to the next point that isn't flagged, open; one that lasts to
+    the end of the series is closed.
+    """
+    ends = series.groupBy(*by).agg(*[f(F.struct("ts_us", "flagged")).alias(n) for n, f in (("first", F.min), ("last", F.max))])
+    more = F.array_compact(F.array(F.when(F.col("first.ts_us") > start_us, F.struct(F.lit(start_us).cast("long").alias("ts_us"), F.col("first.flagged").alias("flagged"))), F.when(F.col("last.ts_us") < end_us, F.struct(F.lit(end_us).cast("long").alias("ts_us"), F.col("last.flagged").alias("flagged")))))
+    rows = series.select(*by, "ts_us", "flagged").unionByName(ends.select(*by, F.explode(more).alias("x")).select(*by, "x.*"))
+    order = Window.partitionBy(*by).orderBy("ts_us")
+    rows = rows.withColumn("run", F.sum((~F.col("flagged")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("next_us", F.lead("ts_us").over(order)).where("flagged")
+    runs_ = rows.groupBy(*by, "run").agg(F.min("ts_us").alias("lo"), F.max_by(F.struct("ts_us", "next_us"), "ts_us").alias("z"))
+    b = F.coalesce(intervals.upper(nanos(F.col("z.next_us")), closed=False), intervals.upper(nanos(F.col("z.ts_us"))))
+    return runs_.select(*by, intervals.lower(nanos(F.col("lo"))).alias("a"), b.alias("b"))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import intervals
 from tidewatch.functions.instants import SECOND, nanos
-from tidewatch.operators import arbiter, baseline, detect, limits, metrics, replay, truth
+from tidewatch.operators import arbiter, baseline, checks, detect, limits, metrics, replay, truth
 from tidewatch.plans import sql as q
 from tidewatch.plans import tables as t
+from tidewatch.sources import records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -257,6 +258,67 @@ def alarm_records(spark, d):
     return rounded(out.select("channel", "t_start_us", "kind", "at_us", "t_end_us", "severity", "peak"), "peak")
 
 
+ADMITTED = f"""select channel, onset_us as t_start_us, kind, at_us, {q.R6('least(peak, 1.0)')} as peak from (
+ select channel, onset_us, 'open' as kind, ts_us as at_us, severity, peak from f3 where before is null
+ union all select channel, onset_us, 'rise', ts_us, severity, peak from f3 where before <> severity
+ union all select channel, onset_us, 'finish', null, severity, peak from f3 where next_us is null
+ union all select channel, onset_us, 'close', next_us, severity, peak from f3 where next_us is not null and next_onset is distinct from onset_us) where severity <> 'low'"""
+
+
+@registered(q.query(ADMITTED, q.READINGS, q.BOUNDS, q.latch(), RECORDS))
+def admitted_records(spark, d):
+    """A hook that drops records of low severity and caps the peak."""
+    hook = lambda r: r.where("severity <> 'low'").withColumn("peak", F.least("peak", F.lit(1.0)))
+    out = arbiter.admitted(arbiter.records(main_scores(spark, d), t.MEDIUM, t.HIGH), hook)
+    return rounded(out.select("channel", "t_start_us", "kind", "at_us", "peak"), "peak")
+
+
+DETECTOR_BANDS = {n: (t.MEDIUM * (k + 1), t.HIGH * (k + 1)) for k, n in enumerate(ALL)}
+_BAND = lambda side: "case policy " + " ".join(f"when '{n}' then {v[side]}::double" for n, v in DETECTOR_BANDS.items()) + " end"
+
+
+@registered(q.query(f"select policy as detector, 'events:' || policy || id[17:] as id, t_end_us, {q.R6('peak')} as peak, case when peak >= {_BAND(1)} then 'high' when peak >= {_BAND(0)} then 'medium' else 'low' end as severity from a", q.READINGS, q.BOUNDS, q.latch(*ALL), q.ALARMS))
+def alarms_by_detector(spark, d):
+    """Every policy as a detector with severity bands of its own."""
+    s = t.readings(spark, d)
+    rows = detect.scored(t.tested(s), t.limits(s, *ALL), by=("policy", "mission", "channel")).withColumnRenamed("policy", "detector")
+    medium, high = arbiter.bands(DETECTOR_BANDS)
+    found = arbiter.alarms(rows, medium, high, by=("detector", "mission", "channel"), detector=F.col("detector"))
+    return rounded(found.select("detector", "id", "t_end_us", "peak", "severity"), "peak")
+
+
+@registered(q.query("select policy, max(coalesce((n - 1) * gap_us / 1e6, s + gap_us / 1e6))::double as lookback_s from p group by policy", q.READINGS, q.BOUNDS, q.latch(*ALL)))
+def detector_lookback(spark, d):
+    return limits.lookback(t.limits(t.readings(spark, d), *ALL), "policy")
+
+
+STEPS = f"""st0 as (select channel, ts_us, value > {t.NOMINAL_MAX} as flagged from t where ts_us >= {t.TEST_US}),
+st1 as (select channel, ts_us, flagged from st0 union all select channel, {t.TEST_US}, arg_min(flagged, ts_us) from st0 group by channel having min(ts_us) > {t.TEST_US} union all select channel, {t.END_US}, arg_max(flagged, ts_us) from st0 group by channel having max(ts_us) < {t.END_US}),
+st2 as (select *, lag(flagged) over w as was, lead(ts_us) over w as next_us from st1 window w as (partition by channel order by ts_us)),
+st3 as (select *, sum(case when flagged is distinct from was then 1 else 0 end) over (partition by channel order by ts_us rows unbounded preceding) as run from st2)"""
+
+
+@registered(q.query("select channel, min(ts_us) * 2000 as a, (case when count(next_us) < count(*) then max(ts_us) * 2000 else max(next_us) * 2000 - 1 end)::bigint as b from st3 where flagged group by channel, run", q.READINGS, STEPS))
+def flagged_spans(spark, d):
+    series = t.tested(t.readings(spark, d)).select("channel", "ts_us", (F.col("value") > t.NOMINAL_MAX).alias("flagged"))
+    return truth.flagged_spans(series, t.TEST_US, t.END_US, "channel")
+
+
+@registered(q.query("select 'scores' as what, 0::bigint as n union all select 'events', 0::bigint", q.READINGS))
+def unsound(spark, d):
+    """Scores and events that break what they must satisfy: none."""
+    scores = main_scores(spark, d)
+    events = arbiter.as_events(arbiter.alarms(scores, t.MEDIUM, t.HIGH))
+    counts = [checks.unsound_scores(scores).select(F.lit("scores").alias("what")), checks.unsound_events(events).select(F.lit("events").alias("what"))]
+    names = spark.createDataFrame([("scores",), ("events",)], "what string")
+    return names.join(counts[0].unionByName(counts[1]).groupBy("what").agg(F.count("*").alias("n")), "what", "left").fillna(0, ["n"])
+
+
+@registered(q.query("select mission || '/' || channel as key, count(*) as n from t group by all", q.READINGS))
+def partition_keys(spark, d):
+    return t.readings(spark, d).groupBy(records.partition_key().alias("key")).agg(F.count("*").alias("n"))
+
+
 @registered(
     q.query(
         f"select channel, sum(samples)::bigint as samples, sum(repeats)::bigint as repeats, sum(scored)::bigint as scored, sum(firing)::bigint as firing, {q.R6('sum(scored) / sum(samples - repeats)::double')} as ratio from (select channel, count(*) + count(*) filter (ts_us // 1000000 % 5 = 0) as samples, count(*) + count(*) filter (ts_us // 1000000 % 5 = 0) - count(distinct ts_us) as repeats, count(*) filter (isfinite(value)) as scored from t where ts_us >= {t.TEST_US} group by channel) join (select channel, count(onset_us) as firing from s group by channel) using (channel) group by rollup (channel)",

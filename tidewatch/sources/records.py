@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.instants import of_iso
@@ -11,6 +11,11 @@ SAMPLE_SCHEMA = "mission string, channel string, mission_ts string, wall_ts stri
 SAMPLE_KEYS = tuple(x.split()[0] for x in SAMPLE_SCHEMA.split(", "))
 
 
+def partition_key() -> Column:
+    """What keeps a channel's samples in order on a bus of partitions."""
+    return F.concat_ws("/", "mission", "channel")
+
+
 def to_lines(df: DataFrame) -> DataFrame:
     """One JSON object a row; null fields are written."""
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value"))
