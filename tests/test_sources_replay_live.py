@@ -14,10 +14,10 @@ from tidewatch import cli
 from tidewatch.functions.instants import stamp
 from tidewatch.operators import arbiter, detect, replay
 from tidewatch.operators.limits import LIMITS_SCHEMA
-from tidewatch.plans.evaluate import EvalConfig, evaluate
+from tidewatch.plans.evaluate import EvalConfig, evaluate, repeated
 from tidewatch.sources import files, records
 from tidewatch.sources.archive import Archive, Channel, IngestError
-from tidewatch.streaming import live
+from tidewatch.streaming import live, pace
 
 S = 1_000_000
 DAY = 1641326400  # 2022-01-04T20:00:00Z
@@ -208,11 +208,14 @@ def end_to_end_rows():
     return rows
 
 
-def test_evaluation_known_in_advance(spark):
+def test_evaluation_known_in_advance(spark, tmp_path):
     samples = spark.createDataFrame(end_to_end_rows(), "segment int, channel string, ts_us long, value double, sampling_s int, anomaly boolean, train boolean")
     channels = spark.createDataFrame([("A", "numeric"), ("B", "numeric")], "channel string, kind string")
-    config = EvalConfig("m", ((B1 * S, (B1 + 600) * S), (B2 * S, (B2 + 600) * S)), 0.1, 0.05, 3, 60.0, (60.0, 150.0), 0.1, 0.5)
-    e = evaluate(spark, samples, channels, config)
+    config = EvalConfig("m", ((B1 * S, (B1 + 600) * S), (B2 * S, (B2 + 600) * S)), 0.1, 0.05, 3, 60.0, (60.0, 150.0), 0.1, 0.5, cpu_min_s=1e-9)
+    e = evaluate(spark, samples, channels, config, events_to=tmp_path)
+    assert e.timing["passes"] == 1 and e.timing["cpu_s"] > 0 and e.timing["millicores_per_channel"] > 0
+    sent = [json.loads(x.value) for x in spark.read.text(str(tmp_path / "events-1")).collect()]
+    assert [x["id"] for x in sorted(sent, key=lambda x: (x["t_start"], x["id"]))] == [x["id"] for x in sent] and len(sent) == 2
     assert (e.lookback_s, e.longest_event_s) == (300, 128)
     one, two = e.folds
     assert (one["tp"], one["fp"], one["fn"], one["redundant"], one["alarms"], one["recall"]) == (2, 0, 0, 0, 2, 1.0)
@@ -266,6 +269,55 @@ def test_commands(spark, archive, tmp_path, monkeypatch):
     assert cli.main(["detect", "--config", put("bad.yaml", {"limits": 1})]) == 2
 
 
+def test_paced_replay(spark, archive, tmp_path):
+    source = {"path": archive.path, "mission": "test", "channels": {n: {"kind": c.kind, "unit": c.unit} for n, c in CHANNELS.items()}}
+    c = {"source": source, "start_us": None, "end_us": None, "seed": 0, "speed": 1000.0, "wall_us": 0, "sink": str(tmp_path / "sent"), "checkpoint": str(tmp_path / "cp.json"), "every": 8, "idle_us": S}
+    lines = lambda: [json.loads(r.value) for r in spark.read.option("recursiveFileLookup", True).text(c["sink"]).collect()]
+    clock = pace.SimulatedClock(10 * S)
+    # A stop after the third part leaves its position; the next run goes on from there, on a schedule of its own.
+    asked = iter([False] * 6 + [True] * 9)
+    assert cli.run_replay(spark, c, False, clock, lambda: next(asked)) == 130
+    at, before = json.loads((tmp_path / "cp.json").read_text()), clock.at_us
+    some = lines()
+    assert len(some) == at["published"] < 22 and before > 10 * S
+    clock = pace.SimulatedClock(10**12)
+    assert cli.run_replay(spark, c, False, clock) == 0 and not (tmp_path / "cp.json").exists()
+    out = lines()
+    assert len(out) == 22 and len({(x["channel"], x["mission_ts"]) for x in out}) == 22
+    # The silence of 10,800 s less 145 s takes as long on the clock, a thousandth of it.
+    late = max(x["wall_ts"] for x in out)
+    assert late == max(out, key=lambda x: x["mission_ts"])["wall_ts"] and clock.at_us > 10**12 + 10 * S
+    # A clock far ahead: everything is late, all goes out in as few parts as ``every`` allows.
+    ahead = replay.placed(replay.published(archive.readings(spark), None, 1000.0, 0)).cache()
+    assert [last["place"] for _, _, last in pace.ticks(ahead, 0, 8, pace.SimulatedClock(10**15), lambda: False)] == [8, 16, 22]
+
+
+def test_stop_on_signals():
+    import os
+    import signal
+
+    with pace.Stop().on_signals() as stop:
+        assert not stop()
+        os.kill(os.getpid(), signal.SIGTERM)
+        assert stop()
+        pace.SystemClock().wait(2**62, stop)  # a stop ends a wait
+        with pytest.raises(KeyboardInterrupt):
+            os.kill(os.getpid(), signal.SIGTERM)
+    began = pace.SystemClock().now_us()
+    pace.SystemClock().wait(began + 30_000, lambda: False)
+    assert pace.SystemClock().now_us() >= began + 30_000
+
+
+def test_passes_must_agree(spark):
+    import random as chance
+
+    same = spark.range(1000).selectExpr("id", "sqrt(id) as x")
+    assert repeated(spark, same, 0.02)["alarms"] == 1000 and repeated(spark, same, 0.0)["passes"] == 1
+    drawn = F.udf(lambda _: chance.random(), "double").asNondeterministic()
+    with pytest.raises(files.ProtocolError):
+        repeated(spark, spark.range(10).withColumn("x", drawn("id")), 1e6)
+
+
 def test_protocol_files(tmp_path):
     lock = tmp_path / "lock.json"
     lock.write_text(json.dumps({"d": {"files": [{"file": "f", "checksum": "md5:abc"}, {"file": "g", "checksum": "sha1:x"}]}}))

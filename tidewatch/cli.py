@@ -6,6 +6,7 @@ import argparse
 import platform
 import subprocess
 import sys
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.errors import PySparkException
@@ -16,6 +17,7 @@ from tidewatch.operators import arbiter, detect, limits, replay
 from tidewatch.plans.evaluate import EvalConfig, evaluate, write
 from tidewatch.sources import files, records
 from tidewatch.sources.archive import Archive, Channel, IngestError
+from tidewatch.streaming import pace
 
 
 def session() -> SparkSession:
@@ -27,11 +29,14 @@ def archive_of(raw: dict) -> Archive:
     return Archive(raw["path"], raw["mission"], {n: Channel(**files.closed(c, ("kind", "unit"), f"channel {n}")) for n, c in raw["channels"].items()})
 
 
-def run_replay(spark: SparkSession, config: dict, restart: bool) -> int:
+def run_replay(spark: SparkSession, config: dict, restart: bool, clock: pace.Clock | None = None, stopped: Callable[[], bool] = lambda: False) -> int:
     """Publish an archive as JSON lines in stream order, in parts that end where positions are saved.
 
     A part's folder is named by what was published before it, so a part that was cut short is written anew by the run that resumes. A
     position is saved when its part is whole; when the stream is complete it goes, and another run starts from the beginning.
+
+    With a ``clock`` parts go out when due: the schedule starts now, at the position's mission time, else the window's start, else the first
+    sample. A stop leaves the position, and the next run resumes there.
     """
     c = files.closed(config, ("source", "start_us", "end_us", "seed", "speed", "wall_us", "sink", "checkpoint", "every", "idle_us"), "replay")
     source = archive_of(c["source"])
@@ -40,11 +45,21 @@ def run_replay(spark: SparkSession, config: dict, restart: bool) -> int:
     if restart:
         checkpoint.unlink(missing_ok=True)
     at = files.load_position(checkpoint, identity)
-    stream = replay.published(replay.window(source.readings(spark), c["start_us"], c["end_us"]), c["start_us"], c["speed"], c["wall_us"], c["seed"])
+    anchor = at.ts_us if at and clock else c["start_us"]
+    wall_us = clock.now_us() if clock else c["wall_us"]
+    stream = replay.published(replay.window(source.readings(spark), c["start_us"], c["end_us"]), anchor, c["speed"], wall_us, c["seed"])
     if at is not None:
         stream = replay.after(stream, at.ts_us, at.rank)
     done = at.published if at else 0
     stream = replay.placed(stream, done).cache()
+    if clock is not None:
+        for part, before, last in pace.ticks(stream, done, c["every"], clock, stopped):
+            _publish(part, c["sink"], before)
+            files.save_position(checkpoint, files.Position(identity, last["place"], last["ts_us"], last["rank"]))
+        if not stopped():
+            checkpoint.unlink(missing_ok=True)
+        stream.unpersist()
+        return 130 if stopped() else 0
     for r in replay.checkpoints(stream, c["every"], c["idle_us"]).orderBy("place").select("place", "ts_us", "rank").collect():
         _publish(stream.where(F.col("place").between(done + 1, r["place"])), c["sink"], done)
         done = r["place"]
@@ -93,7 +108,7 @@ def run_evaluate(spark: SparkSession, config: dict) -> int:
     e["blocks"], e["sensitivity_s"] = tuple(tuple(b) for b in e["blocks"]), tuple(e["sensitivity_s"])
     channels = spark.createDataFrame([(n, x.kind) for n, x in source.channels.items()], "channel string, kind string")
     source.readings(spark)  # refuses an archive that isn't as declared
-    result = evaluate(spark, source.labelled(spark), channels, EvalConfig(mission=source.mission, **e), md5)
+    result = evaluate(spark, source.labelled(spark), channels, EvalConfig(mission=source.mission, **e), md5, c["out"])
     write(result, c["out"], run_header() | {"config_sha256": files.config_hash(config), "data_md5": md5})
     return 0
 
@@ -122,10 +137,14 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--config", required=True)
     parser.add_argument("--restart", action="store_true")
     parser.add_argument("--check", action="store_true")
+    parser.add_argument("--paced", action="store_true", help="replay by the machine's clock")
     a = parser.parse_args(args)
     try:
         config = files.load_yaml(a.config)
         spark = session()
+        if a.command == "replay" and a.paced:
+            with pace.Stop().on_signals() as stop:
+                return run_replay(spark, config, a.restart, pace.SystemClock(), stop)
         if a.command == "replay":
             return run_replay(spark, config, a.restart)
         if a.command == "derive":
