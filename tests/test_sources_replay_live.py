@@ -318,6 +318,28 @@ def test_passes_must_agree(spark):
         repeated(spark, spark.range(10).withColumn("x", drawn("id")), 1e6)
 
 
+def test_fetch(tmp_path, capsys):
+    import hashlib
+
+    (tmp_path / "far.csv").write_bytes(b"a,b")
+    remote = {"file": "near.csv", "url": (tmp_path / "far.csv").as_uri(), "checksum": hashlib.md5(b"a,b").hexdigest()}
+    put = lambda **change: (tmp_path / "r.yaml").write_text(yaml.safe_dump({"d": {"files": [remote | change]}}))
+    (tmp_path / "c.yaml").write_text(yaml.safe_dump({"registry": str(tmp_path / "r.yaml"), "folder": str(tmp_path / "data")}))
+    run = lambda *more: cli.main(["fetch", "--config", str(tmp_path / "c.yaml"), *more])
+    put()
+    assert run("--dry-run") == 0 and capsys.readouterr().out == "download d/near.csv\n" and not (tmp_path / "data").exists()
+    assert run("--dataset", "d") == 0 and (tmp_path / "data/d/near.csv").read_bytes() == b"a,b"
+    files.check_lock(tmp_path / "data/lock.json", "d", "near.csv", remote["checksum"])
+    assert run("--dry-run") == 0 and capsys.readouterr().out == "keep d/near.csv\n"
+    assert run("--list") == 0 and remote["checksum"] in capsys.readouterr().out
+    (tmp_path / "far.csv").write_bytes(b"other")
+    assert run() == 0 and run("--force") == 2 and (tmp_path / "data/d/near.csv").read_bytes() == b"a,b" and not list((tmp_path / "data/d").glob("*.part"))
+    assert run("--dataset", "e") == 2
+    for change in ({"file": "../x"}, {"checksum": "odd:1"}):
+        put(**change)
+        assert run() == 2
+
+
 def test_protocol_files(tmp_path):
     lock = tmp_path / "lock.json"
     lock.write_text(json.dumps({"d": {"files": [{"file": "f", "checksum": "md5:abc"}, {"file": "g", "checksum": "sha1:x"}]}}))

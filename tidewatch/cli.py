@@ -1,4 +1,4 @@
-"""Commands: ``python -m tidewatch.cli replay|detect|evaluate|derive --config FILE``. Exit codes: 0 done, 1 differs, 2 unusable input, 130 stopped."""
+"""Commands: ``python -m tidewatch.cli replay|detect|evaluate|derive|fetch --config FILE``. Exit codes: 0 done, 1 differs, 2 unusable input, 130 stopped."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import arbiter, detect, limits, replay
 from tidewatch.plans.evaluate import EvalConfig, evaluate, write
-from tidewatch.sources import files, records
+from tidewatch.sources import fetch, files, records
 from tidewatch.sources.archive import Archive, Channel, IngestError
 from tidewatch.streaming import pace
 
@@ -131,16 +131,37 @@ def run_derive(spark: SparkSession, config: dict, check: bool) -> int:
     return 0
 
 
+def run_fetch(config: dict, only: str | None, listing: bool, dry: bool, force: bool) -> int:
+    """Download what a registry names, without Spark; ``listing`` and ``dry`` say what there is and what would be done."""
+    c = files.closed(config, ("registry", "folder"), "fetch")
+    known = fetch.registry(c["registry"])
+    if only is not None and only not in known:
+        raise files.ConfigError(f"{only} is not in the registry: {sorted(known)}")
+    for name in [only] if only is not None else sorted(known):
+        if listing or dry:
+            for f in known[name]:
+                here = fetch.verified(Path(c["folder"]) / name / f.file, f)
+                print(f"{name}/{f.file} {':'.join(f.expected)}" if listing else f"{'keep' if here and not force else 'download'} {name}/{f.file}")
+        else:
+            fetch.fetch(name, known[name], c["folder"], force)
+    return 0
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidewatch")
-    parser.add_argument("command", choices=("replay", "detect", "evaluate", "derive"))
+    parser.add_argument("command", choices=("replay", "detect", "evaluate", "derive", "fetch"))
     parser.add_argument("--config", required=True)
     parser.add_argument("--restart", action="store_true")
     parser.add_argument("--check", action="store_true")
     parser.add_argument("--paced", action="store_true", help="replay by the machine's clock")
+    parser.add_argument("--dataset")
+    for flag in ("--list", "--dry-run", "--force"):
+        parser.add_argument(flag, action="store_true")
     a = parser.parse_args(args)
     try:
         config = files.load_yaml(a.config)
+        if a.command == "fetch":
+            return run_fetch(config, a.dataset, a.list, a.dry_run, a.force)
         spark = session()
         if a.command == "replay" and a.paced:
             with pace.Stop().on_signals() as stop:
