@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.components import components
 from tidewatch.llm.storage import released, sized, slots, written
-from tidewatch.llm.textcore import STEP, U, WordHashes, as_bytes, chunks, mixed, shingle_sets
+from tidewatch.llm.textcore import STEP, U, WordHashes, as_bytes, chunks, mixed, shingle_sets, sliced
 
 WORDS, PERCENT = 5, 75
 #: Coordinates of a sketch and coordinates in a band: two sets of similarity 0.75 miss all 32 bands with probability 5e-6.
@@ -67,7 +67,7 @@ def bands(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in sliced(batches):
         texts = as_bytes(batch.column("text"))
         for a, b in chunks(texts):
             sets = shingle_sets(hashes, texts[a:b], WORDS)
@@ -81,7 +81,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(print, grp, text) -> (print, grp, shingles); a repeated row's set is made once in a partition."""
     hashes, seen = WordHashes(), set()
-    for batch in batches:
+    for batch in sliced(batches):
         rows = list(zip(batch.column("print").to_pylist(), batch.column("grp").to_pylist(), as_bytes(batch.column("text")), strict=True))
         rows = list({r[0]: r for r in rows if r[0] not in seen}.values())
         seen.update(r[0] for r in rows)
@@ -116,10 +116,16 @@ def verified(sets: list[np.ndarray], asks: np.ndarray | None = None) -> list[tup
     """
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
-    number = np.unique(flat, return_inverse=True)[1].ravel()
-    owner = np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(number, kind="stable")
-    posting, start = owner[order], np.r_[0, np.cumsum(np.bincount(number))]
+    # One sort numbers the shingles and lays out their postings; numbers and owners take four bytes.
+    order = np.argsort(flat, kind="stable").astype(np.int32 if len(flat) < 2**31 else np.int64)
+    flat = flat[order]
+    edge = np.r_[True, flat[1:] != flat[:-1]] if len(flat) else np.zeros(0, bool)
+    del flat
+    number = np.empty(len(order), order.dtype)
+    number[order] = np.cumsum(edge, dtype=order.dtype) - 1
+    posting = np.repeat(np.arange(len(sets), dtype=np.int32), size)[order]
+    start = np.r_[np.flatnonzero(edge), len(order)]
+    del order, edge
     bounds, union, out = np.r_[0, np.cumsum(size)], Union(len(sets)), []
     for i in range(len(sets)) if asks is None else np.flatnonzero(asks).tolist():
         own = number[bounds[i] : bounds[i + 1]]
@@ -141,7 +147,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([held[p[k]][0] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     now, held = None, []
-    for b in batches:
+    for b in sliced(batches):
         for task, own, asks, shingles in zip(*(b.column(c).to_pylist() for c in ("task", "print", "asks", "shingles")), strict=True):
             if task != now:
                 if held:
