@@ -119,6 +119,23 @@ def test_scores_and_onsets(spark, vectors):
     assert [r.onset_us for r in vectors["gap"] if r.firing] == [0, 0, 200_000_000]
 
 
+def test_samples_of_one_instant_have_no_rate_limit(spark):
+    rows = run(spark, {"still": (rule(P(), max_rate=1.0), [(0, 1), (0, 1), (1, 1), (1, 1), (2, 9)]), "jump": (rule(P(), max_rate=1.0), [(0, 1), (0, 9), (60, 1)])})
+    assert [r.firing for r in rows["still"]] == [F_, F_, F_, F_, T] and [r.score for r in rows["still"]] == [0, 0, 0, 0, 7]
+    assert [r.firing for r in rows["jump"]] == [F_, F_, F_]
+
+
+def test_rate_over_no_time(spark):
+    """As a division of doubles gives it: infinite, NaN if nothing changed or a value is not a number, null without a value."""
+    out = {}
+    for a, b in ((1.0, 3.0), (1.0, 1.0), (NAN, 1.0), (None, 1.0)):
+        df = spark.createDataFrame([("c", 0, 5, a, "ok"), ("c", 0, 5, b, "ok")], "channel string, seg int, ts_us long, value double, quality string")
+        first, second = detect.rated(df.coalesce(1), "channel").collect()
+        assert first.rate is None and first.elapsed_us is None and second.elapsed_us == 0
+        out[a, b] = str(second.rate)
+    assert list(out.values()) == ["inf", "nan", "nan", "None"]
+
+
 def test_quality_is_the_worst_of_what_was_used(spark):
     points = [(0, 1.0, "gap_filled"), (1, 2.0, "ok")]
     rows = run(spark, {"rate": (rule(P(), max_rate=5.0), points), "plain": (rule(P()), points)})

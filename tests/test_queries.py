@@ -37,6 +37,24 @@ def test_equals_sql(spark, sql, name):
     assert plain(mine) == plain(theirs)
 
 
+@pytest.fixture(scope="module")
+def repeated(tmp_path_factory):
+    """The events three times, under shifted keys: every channel has three samples an instant."""
+    d = tmp_path_factory.mktemp("repeated")
+    con = duckdb.connect()
+    con.execute(f"copy (select event_id + k * 100000 as event_id, ts, user_id, event_type, value, props from range(3) r(k), '{DATA}/events.parquet') to '{d}/events.parquet' (format parquet)")
+    con.execute(f"create view events as select * from '{d}/events.parquet'")
+    return str(d), con
+
+
+@pytest.mark.parametrize("name", ["alarm_latch"])
+def test_repeated_instants_equal_sql(spark, repeated, name):
+    data, con = repeated
+    mine, theirs = QUERIES[name](spark, data).toPandas(), con.execute(ORACLES[name]).df()
+    assert sorted(mine.columns) == sorted(theirs.columns)
+    assert plain(mine) == plain(theirs)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -43,10 +43,15 @@ def segmented(samples: DataFrame, gap_us: Column, *by: str) -> DataFrame:
 
 
 def rated(samples: DataFrame, *by: str) -> DataFrame:
-    """Adds ``rate``, the change a second against the previous sample of the segment, and that sample's quality."""
+    """Adds ``rate``, the change a second against the previous sample of the segment, ``elapsed_us`` since that sample, and its quality.
+
+    Between samples of one instant the rate is what floating point makes of a division by 0: infinite, or NaN if nothing changed.
+    """
     order = Window.partitionBy(*by, "seg").orderBy("ts_us")
-    change = F.abs(F.col("value") - F.lag("value").over(order)) / seconds(F.col("ts_us") - F.lag("ts_us").over(order))
-    return samples.withColumn("rate", change).withColumn("previous_quality", F.lag("quality").over(order))
+    rows = samples.withColumn("elapsed_us", F.col("ts_us") - F.lag("ts_us").over(order))
+    change = F.abs(F.col("value") - F.lag("value").over(order))
+    rate = F.when(F.col("elapsed_us") == 0, change * float("inf")).otherwise(change / seconds(F.col("elapsed_us")))
+    return rows.withColumn("rate", rate).withColumn("previous_quality", F.lag("quality").over(order))
 
 
 def scored(samples: DataFrame, limits: DataFrame, by: tuple[str, ...] = BY, on: tuple[str, ...] = ("channel",)) -> DataFrame:
@@ -55,13 +60,14 @@ def scored(samples: DataFrame, limits: DataFrame, by: tuple[str, ...] = BY, on:
     Columns: by..., ts_us, value (the sample's), score >= 0, violating, firing, onset_us, run_start_us, run_n, quality. No opinion
     is no row: channels without check, and values that are not finite (these don't touch the state). Limits join by ``on``, and
     a limits table with more keys than the samples (policies, folds) multiplies the samples: its keys then belong to ``by``.
+    A rate limit says nothing between samples of one instant.
     """
     rows = samples.where(finite(F.col("value"))).join(limits.where("`check` <> 'none'").drop("reason"), list(on))
     rows = rated(segmented(rows, F.col("max_gap_s") * SECOND, *by), *by)
     span = F.col("high") - F.col("low")
     margin = F.col("hysteresis") * span
     over = F.greatest(F.col("low") - F.col("value"), F.col("value") - F.col("high"), F.lit(0.0)) / span
-    limited = F.col("max_rate").isNotNull() & F.col("rate").isNotNull()
+    limited = F.col("max_rate").isNotNull() & F.coalesce(F.col("elapsed_us") > 0, F.lit(False))
     too_fast = F.when(limited, F.greatest(F.col("rate") - F.col("max_rate"), F.lit(0.0)) / F.col("max_rate"))
     inside = (F.col("low") + margin <= F.col("value")) & (F.col("value") <= F.col("high") - margin)
     inside = inside & (~limited | (F.col("rate") <= F.col("max_rate") * (1 - F.col("hysteresis"))))
