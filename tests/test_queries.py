@@ -47,7 +47,7 @@ def repeated(tmp_path_factory):
     return str(d), con
 
 
-@pytest.mark.parametrize("name", ["alarm_latch", "alarms_by_detector", "gap_sensitivity"])
+@pytest.mark.parametrize("name", ["alarm_latch", "alarms_by_detector", "gap_sensitivity", "rate_of_change"])
 def test_repeated_instants_equal_sql(spark, repeated, name):
     data, con = repeated
     mine, theirs = QUERIES[name](spark, data).toPandas(), con.execute(ORACLES[name]).df()
