@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidewatch.llm.textcore import WordTable, as_bytes
+from tidewatch.llm.textcore import WordTable, kept, portions, trimmed
 
 NO_RANK = np.iinfo(np.int32).max
 
@@ -180,10 +180,9 @@ def loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
-@functools.cache
 def remembered(path: str) -> WordTable:
-    """Kept as long as the worker lives, so that its tasks don't each learn the same words."""
-    return WordTable(loaded(path).words, "<u4")
+    """Kept until the worker serves another operator, so that its tasks don't each learn the same words."""
+    return kept((__name__, path), lambda: WordTable(loaded(path).words, "<u4"))
 
 
 def encoded(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = ("doc_id",), keep_ids: bool = False) -> DataFrame:
@@ -199,11 +198,12 @@ def encoded(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = (
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "__text"]
     schema += ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>", "decoded string"] * keep_ids
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, cache = loaded(path), remembered(path)
-        for batch in batches:
+        for batch, raw in portions(batches, "__text"):
             n, first, second, ids, texts = [], [], [], [], []
-            for own in cache.ids([cased(t) for t in as_bytes(batch.column("__text"))]):
+            for own in cache.ids([cased(t) for t in raw]):
                 text = bpe.decoded(own)
                 n.append(len(own))
                 first.append(hashlib.sha256(own.tobytes()).hexdigest())

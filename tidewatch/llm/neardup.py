@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.components import components
 from tidewatch.llm.storage import released, sized, slots, written
-from tidewatch.llm.textcore import STEP, U, WordHashes, as_bytes, chunks, mixed, shingle_sets, sliced
+from tidewatch.llm.textcore import STEP, U, WordHashes, as_bytes, chunks, forget, mixed, portions, shingle_sets, sliced, trimmed
 
 WORDS, PERCENT = 5, 75
 #: Coordinates of a sketch and coordinates in a band: two sets of similarity 0.75 miss all 32 bands with probability 5e-6.
@@ -65,21 +65,23 @@ def bands(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return value.view(np.int64)
 
 
+@trimmed
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     hashes = WordHashes()
-    for batch in sliced(batches):
-        texts = as_bytes(batch.column("text"))
-        for a, b in chunks(texts):
-            sets = shingle_sets(hashes, texts[a:b], WORDS)
-            prints = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
-            band = bands(sketches(sets))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * band.shape[1]), pa.array(band.ravel()))
-            own = [batch.column(c).slice(a, b - a) for c in ("doc_id", "key")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), flat], names=["doc_id", "key", "n_shingles", "print", "bands"])
+    for batch, texts in portions(batches, "text"):
+        sets = shingle_sets(hashes, texts, WORDS)
+        prints = [xxhash.xxh3_128_digest(s) if len(s) else None for s in sets]
+        band = bands(sketches(sets))
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * band.shape[1]), pa.array(band.ravel()))
+        own = [batch.column(c) for c in ("doc_id", "key")]
+        yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), flat], names=["doc_id", "key", "n_shingles", "print", "bands"])
 
 
+@trimmed
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(print, grp, text) -> (print, grp, shingles); a repeated row's set is made once in a partition."""
+    forget()
     hashes, seen = WordHashes(), set()
     for batch in sliced(batches):
         rows = list(zip(batch.column("print").to_pylist(), batch.column("grp").to_pylist(), as_bytes(batch.column("text")), strict=True))
@@ -138,6 +140,7 @@ def verified(sets: list[np.ndarray], asks: np.ndarray | None = None) -> list[tup
     return out
 
 
+@trimmed
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by ``task`` and ``print``: (task, print, asks, shingles), of which repeats are passed over. Compares inside each run of one task; holds one run at a time."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.storage import written
-from tidewatch.llm.textcore import WordHashes, as_bytes, chunks, windows
+from tidewatch.llm.textcore import WordHashes, chunks, forget, portions, trimmed, windows
 
 SPACES = (b" ", b"\t", b"\n", b"\v", b"\f", b"\r")
 SYMBOLS, UPPER, DIGITS, MARKS = b"#*$%&|<>", bytes(range(65, 91)), bytes(range(48, 58)), b".,;:!?'\"()-"
@@ -103,10 +104,12 @@ def in_bands(size: int, whole: float, chunks_: list[tuple[int, float]]) -> bool:
 RULE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, chunk_low double, chunk_high double, base_failed boolean, kept boolean"
 
 
-def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@trimmed
+def _rules(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """``column``: where the text is. All columns but __text are passed on."""
+    forget()
     hashes, press = WordHashes(), zstandard.ZstdCompressor(level=LEVEL)
-    for batch in batches:
-        texts = as_bytes(batch.column("__text"))
+    for batch, texts in portions(batches, column):
         rows = []
         for text, (words, repeats) in zip(texts, counted(texts, hashes), strict=True):
             n = len(words)
@@ -130,9 +133,16 @@ def rules(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id
     """
     if clash := {c.lower() for c in carry} & {x.split()[0] for x in RULE_SCHEMA.split(", ")}:
         raise ValueError(f"carried columns bear names of results: {sorted(clash)}")
-    picked = docs.select(*[F.col(c) for c in carry], F.col(text).alias("__text"))
+    picked, column = _with_text(docs, carry, text)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "__text"] + [RULE_SCHEMA])
-    return picked.mapInArrow(_rules, schema)
+    return picked.mapInArrow(functools.partial(_rules, column=column), schema)
+
+
+def _with_text(docs: DataFrame, carry: tuple[str, ...], text: str = "text") -> tuple[DataFrame, str]:
+    """The ``carry`` columns and the text, and the name of the column that has it: a carried text goes to the workers once."""
+    if text in carry:
+        return docs.select(*[F.col(c) for c in carry]), text
+    return docs.select(*[F.col(c) for c in carry], F.col(text).alias("__text")), "__text"
 
 
 #: Statistics of a document, all about unit scale.
@@ -165,10 +175,12 @@ def features(text: bytes, words: list[bytes], repeats: int, press: zstandard.Zst
     ]
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@trimmed
+def _features(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """``column``: where the text is. All columns but __text are passed on."""
+    forget()
     hashes, press = WordHashes(), zstandard.ZstdCompressor(level=LEVEL)
-    for batch in batches:
-        texts = as_bytes(batch.column("__text"))
+    for batch, texts in portions(batches, column):
         x = [features(t, w, r, press) for t, (w, r) in zip(texts, counted(texts, hashes), strict=True)]
         rest = [(n, batch.column(n)) for n in batch.schema.names if n != "__text"]
         yield pa.RecordBatch.from_arrays([c for _, c in rest] + [pa.array(x, pa.list_(pa.float64()))], names=[n for n, _ in rest] + ["x"])
@@ -176,9 +188,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_features(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), keep_text: bool = False) -> DataFrame:
     """docs -> the ``carry`` columns (and text), x ARRAY<DOUBLE>. A null text counts as empty; one row for every row, repeated or not."""
-    picked = docs.select(*carry, *["text"] * keep_text, F.col("text").alias("__text"))
+    picked, column = _with_text(docs, (*carry, *["text"] * keep_text))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "__text"] + ["x array<double>"])
-    return picked.mapInArrow(_features, schema)
+    return picked.mapInArrow(functools.partial(_features, column=column), schema)
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

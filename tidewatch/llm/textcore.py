@@ -6,12 +6,15 @@ no other byte of a character is one of them.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 U = np.uint64
@@ -59,16 +62,66 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def spans(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of about ``most`` in all; whatever is larger is a run of its own."""
+    start = total = end = 0
+    for end, size in enumerate(sizes, 1):
+        if total and total + size > most:
+            yield start, end - 1
+            start, total = end - 1, 0
+        total += size
+    if start < end:
+        yield start, end
+
+
 def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Slices of ``texts`` of about ``most`` bytes; a longer text is a slice of its own."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+    return spans(map(len, texts), most)
+
+
+def portions(batches: Iterable[pa.RecordBatch], column: str, most: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches in parts with about ``most`` bytes of text in ``column`` (BLOCK_BYTES, if None), each with a copy of its texts: a worker
+    holds a batch and what it makes of one part. A longer text is a part of its own."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        for a, b in spans(sizes.to_pylist(), BLOCK_BYTES if most is None else most):
+            part = batch.slice(a, b - a)
+            yield part, as_bytes(part.column(column))
+
+
+#: What a worker keeps for its next task, by whose it is.
+_kept: dict[Hashable, object] = {}
+
+
+def kept(of: Hashable, make: Callable[[], object]) -> object:
+    """What ``make`` once made in this worker for ``of``. One thing is kept: what was there for another is dropped first, as a worker
+    serves the stages of a pipeline in turn and must not hold the tables of all."""
+    if of not in _kept:
+        forget()
+        _kept[of] = make()
+    return _kept[of]
+
+
+def forget() -> None:
+    """Drop what an earlier task of this worker kept; for operators that keep nothing themselves."""
+    _kept.clear()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system, where its C library is glibc."""
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def trimmed(task: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A worker's function that gives back free memory after its last batch: workers live on and wait while the JVM beside them needs it."""
+
+    @functools.wraps(task)
+    def run(*args, **options) -> Iterator[pa.RecordBatch]:
+        yield from task(*args, **options)
+        give_back()
+
+    return run
 
 
 #: A random odd multiplier, its inverse modulo 2^64, and a random number for each byte.
