@@ -55,6 +55,26 @@ def test_repeated_instants_equal_sql(spark, repeated, name):
     assert plain(mine) == plain(theirs)
 
 
+@pytest.fixture(scope="module")
+def regular(tmp_path_factory):
+    """Two channels every 32 s, so that many rates end in a half at the seventh place; a silence, and every 8th instant twice. The rows lie in falling event_id."""
+    d = tmp_path_factory.mktemp("regular")
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    con.execute(
+        """create table events as select i as event_id, make_timestamp(1704067200000000 + ((i // 18) * 8 + least(i % 18 // 2, 7)) * 32000000 + (i // 9000) * 10800000000) as ts,
+        i % 7 as user_id, if(i % 2 = 0, 'click', 'view') as event_type, (i * i * 7919 % 50021) / 100.0::double as value, '{"k": 1}' as props from range(36000) r(i) order by i"""
+    )
+    con.execute(f"copy (select * from events order by event_id desc) to '{d}/events.parquet' (format parquet)")
+    return str(d), con
+
+
+def test_rate_of_change_rounds_and_orders_as_its_sql(spark, regular):
+    data, con = regular
+    mine, theirs = QUERIES["rate_of_change"](spark, data).toPandas(), con.execute(ORACLES["rate_of_change"]).df()
+    assert plain(mine) == plain(theirs)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

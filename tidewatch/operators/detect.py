@@ -35,19 +35,20 @@ def fresh(samples: DataFrame, arrival: str, *by: str) -> DataFrame:
     return samples.withColumn("fresh", F.coalesce(F.col("ts_us") > top, F.lit(True)))
 
 
-def segmented(samples: DataFrame, gap_us: Column, *by: str) -> DataFrame:
-    """Adds ``seg``, the number of silences longer than the gap so far."""
-    order = Window.partitionBy(*by).orderBy("ts_us")
+def segmented(samples: DataFrame, gap_us: Column, *by: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``seg``, the number of silences longer than the gap so far. Samples of one instant go in the order of ``ties``."""
+    order = Window.partitionBy(*by).orderBy("ts_us", *ties)
     silent = (F.col("ts_us") - F.lag("ts_us").over(order) > gap_us).cast("int")
     return samples.withColumn("silent", F.coalesce(silent, F.lit(0))).withColumn("seg", F.sum("silent").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("silent")
 
 
-def rated(samples: DataFrame, *by: str) -> DataFrame:
+def rated(samples: DataFrame, *by: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``rate``, the change a second against the previous sample of the segment, ``elapsed_us`` since that sample, and its quality.
 
     Between samples of one instant the rate is what floating point makes of a division by 0: infinite, or NaN if nothing changed.
+    Which of them comes first is open unless ``ties`` orders them.
     """
-    order = Window.partitionBy(*by, "seg").orderBy("ts_us")
+    order = Window.partitionBy(*by, "seg").orderBy("ts_us", *ties)
     rows = samples.withColumn("elapsed_us", F.col("ts_us") - F.lag("ts_us").over(order))
     change = F.abs(F.col("value") - F.lag("value").over(order))
     rate = F.when(F.col("elapsed_us") == 0, change * float("inf")).otherwise(change / seconds(F.col("elapsed_us")))

@@ -32,6 +32,14 @@ def r6(c) -> object:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def r6_binary(name: str) -> object:
+    """Six places of a number >= 0 as the SQL's round takes them, from the binary product with 10^6; Spark's takes them from the decimal digits, which
+    differs at halves (a rate at a regular distance of 32 s is one every other time)."""
+    x, scaled = F.col(name), F.col(name) * 1e6
+    whole = F.rint(scaled)  # halves to even
+    return F.when(scaled == float("inf"), x).otherwise(F.when(scaled - whole == 0.5, whole + 1).otherwise(whole) / 1e6)
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: r6(n) for n in names})
 
@@ -192,8 +200,10 @@ def gap_segments(spark, d):
 
 @registered(q.query(f"select channel, ts_us, {q.R6('abs(value - lag(value) over w) / ((ts_us - lag(ts_us) over w) / 1e6::double)')} as rate from g window w as (partition by channel, seg order by ts_us)", q.READINGS, SEGMENTS_SQL))
 def rate_of_change(spark, d):
-    rows = detect.rated(detect.segmented(t.readings(spark, d), F.lit(GAP), "mission", "channel"), "mission", "channel")
-    return rows.select("channel", "ts_us", r6("rate").alias("rate"))
+    """Readings of one instant go by event_id, the order of the table, as the SQL's ORDER BY leaves them open."""
+    rows = detect.segmented(t.readings(spark, d, "event_id"), F.lit(GAP), "mission", "channel", ties=("event_id",))
+    rows = detect.rated(rows, "mission", "channel", ties=("event_id",))
+    return rows.select("channel", "ts_us", r6_binary("rate").alias("rate"))
 
 
 @registered(q.query(f"select channel, ts_us, {q.R6('greatest(low - value, value - high, 0) / (high - low)')} as score from t join b using (channel) where ts_us >= {t.TEST_US} and isfinite(value)", q.READINGS, q.BOUNDS))

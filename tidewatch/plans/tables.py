@@ -21,10 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as readings: a channel for each event_type."""
+def readings(spark: SparkSession, sf_dir: str, *kept: str) -> DataFrame:
+    """events as readings: a channel for each event_type; columns of events named in ``kept`` stay beside."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.lit("events").alias("mission"), F.col("event_type").alias("channel"), micros(F.col("ts")).alias("ts_us"), "value", F.lit("numeric").alias("kind"), F.lit(None).cast("string").alias("unit"), F.lit("ok").alias("quality"))
+    return e.select(F.lit("events").alias("mission"), F.col("event_type").alias("channel"), micros(F.col("ts")).alias("ts_us"), "value", F.lit("numeric").alias("kind"), F.lit(None).cast("string").alias("unit"), F.lit("ok").alias("quality"), *kept)
 
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
