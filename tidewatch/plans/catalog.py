@@ -37,7 +37,8 @@ def r6_binary(name: str) -> object:
     differs at halves (a rate at a regular distance of 32 s is one every other time)."""
     x, scaled = F.col(name), F.col(name) * 1e6
     whole = F.rint(scaled)  # halves to even
-    return F.when(scaled == float("inf"), x).otherwise(F.when(scaled - whole == 0.5, whole + 1).otherwise(whole) / 1e6)
+    # NaN, above infinity here, and what has an infinite product stay as they are.
+    return F.when(scaled < float("inf"), F.when(scaled - whole == 0.5, whole + 1).otherwise(whole) / 1e6).otherwise(x)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
